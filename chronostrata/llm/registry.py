@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from chronostrata.llm import quality_rules
+from chronostrata.llm import byte_bpe, mixing, quality_rules, sharding
 
 QUERIES = {
     "op2_quality_rules": quality_rules.query,
+    "op3_byte_bpe": byte_bpe.query,
+    "op5_source_mixing": mixing.query,
+    "op10_sharding": sharding.query,
 }
 
 ORACLES = {
