@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronostrata.llm.lineage import ship
+
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bounds on the tables that a worker keeps: states of the transducer, pieces with their ids.
 MAX_STATES, MAX_PIECES = 150_000, 150_000
@@ -303,6 +305,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", out: st
             ends = np.cumsum([0, *(len(p) // 4 for p in parts)], dtype=np.int32)
             yield with_column(b, out, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), dtype="<i4"))), names)
 
+    ship(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 
@@ -318,6 +321,7 @@ def decode(rows: DataFrame, path: str | None = None, ids: str = "ids", out: str
             values = b.column(b.schema.get_field_index(ids)).to_pylist()
             yield with_column(b, out, pa.array([d.decode(v or []) for v in values], pa.string()), names)
 
+    ship(rows.sparkSession)
     return rows.mapInArrow(run, schema)
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +25,20 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, written once to the shared folder: later reads survive the loss of executors."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application: their Python imports it in tasks."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    to = Path(tempfile.mkdtemp(prefix="chronostrata-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(to))
+    _shipped.add(app)

@@ -30,6 +30,8 @@ SHARE = 1.5
 MAX_EPOCHS = 2
 #: Documents of one source that one task sorts.
 RANGE_ROWS = 1_000
+#: Tables of a row for each source are broadcast up to so many rows; beyond, a source is dealt over SALTS.
+BROADCAST_ROWS, SALTS = 10_000, 16
 #: Quality weights are held to this range, so that keys of one source spread over its ranges.
 LEAST_QUALITY, MOST_QUALITY = 0.25, 4.0
 
@@ -75,12 +77,25 @@ def water_filled(sources: DataFrame, share: float, weights: Sequence[float], max
     return s.withColumn("target", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap")))).select("source", "source_size", "source_docs", "target")
 
 
+def by_source(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """docs with the columns of ``table``, which has one row for each ``source``.
+
+    A table of few rows is broadcast, after a count. A larger one is repeated SALTS times and the rows
+    of a source are dealt over the copies, so that no source is joined by one task.
+    """
+    table = table.withColumnRenamed("source", "_of")
+    if table.count() <= BROADCAST_ROWS:
+        return docs.join(F.broadcast(table), docs["source"].eqNullSafe(table["_of"])).drop("_of")
+    table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    docs = docs.withColumn("_dealt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return docs.join(table, docs["source"].eqNullSafe(table["_of"]) & (docs["_dealt"] == table["_salt"])).drop("_of", "_salt", "_dealt")
+
+
 def mix(docs: DataFrame, share: float = SHARE, weights: Sequence[float] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 0, range_rows: int = RANGE_ROWS) -> DataFrame:
     """doc_id, source, size, source_size, target, epochs, taken; one row for each document."""
     text = F.col("text").cast("string")
     size = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(text).alias("size"), F.length(text).alias("chars"))
     q = F.greatest(F.lit(LEAST_QUALITY), F.least(F.lit(MOST_QUALITY), quality(F.col("size"), F.col("chars"))))
-    # The exponential key -ln(u) / q; its distribution function at mean quality spreads it over (0, 1).
     slim = cut(size.withColumn("key", -F.log(unit(F.lit(seed), F.col("doc_id"))) / q).select("doc_id", "source", "size", "key"))
     stats = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_docs"))
     targets = cut(
@@ -88,25 +103,51 @@ def mix(docs: DataFrame, share: float = SHARE, weights: Sequence[float] = WEIGHT
         .withColumn("epochs", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("bigint"))
         .withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
         .withColumn("ranges", F.ceil(F.col("source_docs") / range_rows))
+        .drop("source_docs")
     )
-    salts = 16
-    spread = targets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumnRenamed("source", "of")
-    d = slim.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    d = d.join(spread, d["source"].eqNullSafe(spread["of"]) & (d["salt"] == spread["salt"])).select(
-        "doc_id", "source", "size", "key", "source_size", "target", "epochs", "rest", F.least(F.col("ranges") - 1, F.floor((1.0 - F.exp(-F.col("key"))) * F.col("ranges"))).cast("bigint").alias("range")
-    )
+    # 1 - exp(-key) spreads the keys of quality 1 evenly over (0, 1) and keeps their order.
+    d = by_source(slim, targets).withColumn("range", F.least(F.col("ranges") - 1, F.floor((1.0 - F.exp(-F.col("key"))) * F.col("ranges"))).cast("bigint"))
     sums = d.groupBy("source", "range").agg(F.sum("size").alias("in_range"))
     before = sums.select(
         F.col("source").alias("of"), F.col("range").alias("at"), F.coalesce(F.sum("in_range").over(W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before")
     )
-    d = d.join(before, d["source"].eqNullSafe(before["of"]) & (d["range"] == before["at"]))
+    d = d.join(before, d["source"].eqNullSafe(before["of"]) & (d["range"] == before["at"])).drop("of", "at")
     order = W.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    upto = F.col("before") + F.sum("size").over(order)
-    # The document that crosses the budget is taken if the total then is nearer than without it.
-    once_more = F.when(upto - F.col("size") / 2.0 <= F.col("rest"), 1).otherwise(0)
-    return d.withColumn("more", once_more).select("doc_id", "source", "size", "source_size", "target", "epochs", (F.col("size") * F.least(F.col("epochs") + F.col("more"), F.lit(max_epochs))).cast("bigint").alias("taken"))
+    d = cut(d.withColumn("chosen", F.col("before") + F.sum("size").over(order) <= F.col("rest")).select("doc_id", "source", "size", "key", "source_size", "target", "epochs", "rest", "chosen"))
+    # The prefix stops short of its budget by less than one document: the one document whose size is
+    # nearest the gap joins it, if that is nearer the budget than none.
+    gaps = d.groupBy("source").agg((F.min("rest") - F.coalesce(F.sum(F.when(F.col("chosen"), F.col("size"))), F.lit(0))).alias("gap"))
+    nearest = by_source(d.filter(~F.col("chosen") & (F.col("size") > 0)), gaps).filter(F.abs(F.col("gap") - F.col("size")) < F.col("gap")).groupBy("source")
+    last = cut(nearest.agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "key", "doc_id", "size")).alias("last")).withColumnRenamed("source", "_of"))
+    d = d.join(F.broadcast(last) if last.count() <= BROADCAST_ROWS else last, [d["source"].eqNullSafe(last["_of"]), d["key"] == last["last.key"], d["doc_id"].eqNullSafe(last["last.doc_id"]), d["size"] == last["last.size"]], "left")
+    more = F.when(F.col("chosen") | (~F.col("chosen") & F.col("last").isNotNull()), 1).otherwise(0)
+    return d.select("doc_id", "source", "size", "source_size", "target", "epochs", (F.col("size") * F.least(F.col("epochs") + more, F.lit(max_epochs))).cast("bigint").alias("taken"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _oracle() -> str:
+    weights = ", ".join(map(str, WEIGHTS))
+    return f"""
+with recursive d as (select doc_id, source, cast(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) as bigint) as size, length(text) as chars from documents),
+k as (select *, -ln((cast('0x' || substr(md5('0:' || coalesce(cast(doc_id as varchar), '')), 1, 12) as bigint) + 0.5::double) / 281474976710656::double)
+      / greatest({LEAST_QUALITY}::double, least({MOST_QUALITY}::double, 1::double / (1::double + abs(coalesce(chars::double / nullif(size, 0), 0::double) - 6::double) / 6::double))) as key from d),
+s as (select source, cast(sum(size) as bigint) as source_size, [{weights}][1 + (row_number() over (order by source nulls last) - 1) % {len(WEIGHTS)}]::double as weight from d group by source),
+c as (select source, source_size, weight, {MAX_EPOCHS}::double * source_size as cap from s),
+o as (select *, ({SHARE}::double * sum(source_size) over () - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))
+      / sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following) as level_here from c),
+l as (select min(cap / weight) as full_at, arg_min(level_here, cap / weight) as level from o where cap / weight > level_here),
+t as (select o.source, source_size, least(cap, coalesce(level * weight, cap)) as target from o, l),
+e as (select *, coalesce(floor(target / nullif(source_size, 0)), 0) as epochs from t),
+p as (select k.doc_id, k.source, size, key, source_size, target, epochs, target - epochs * source_size as rest,
+      sum(size) over (partition by k.source order by key, doc_id, size rows unbounded preceding) <= target - epochs * source_size as chosen from k join e on k.source is not distinct from e.source),
+g as (select source, min(rest) - coalesce(sum(size) filter (chosen), 0) as gap from p group by source),
+n as (select p.source, p.doc_id, p.size, row_number() over (partition by p.source order by abs(gap - p.size), key, doc_id) as r from p join g on p.source is not distinct from g.source where not chosen and p.size > 0 and abs(gap - p.size) < gap)
+select p.doc_id, p.size, p.source_size, p.target, cast(p.size * least(epochs + case when chosen or n.doc_id is not null then 1 else 0 end, {MAX_EPOCHS}) as bigint) as taken
+from p left join n on n.r = 1 and p.source is not distinct from n.source and p.doc_id = n.doc_id and not p.chosen"""
+
+
+ORACLE = _oracle()
