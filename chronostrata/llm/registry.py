@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from chronostrata.llm import byte_bpe, mixing, quality_rules, sharding
+from chronostrata.llm import byte_bpe, mixing, quality_rules, sharding, toxicity
 
 QUERIES = {
     "op2_quality_rules": quality_rules.query,
     "op3_byte_bpe": byte_bpe.query,
+    "op4_toxicity": toxicity.query,
     "op5_source_mixing": mixing.query,
     "op10_sharding": sharding.query,
 }
 
 ORACLES = {
     "op2_quality_rules": quality_rules.ORACLE,
+    "op5_source_mixing": mixing.ORACLE,
 }
