@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from chronostrata.llm import byte_bpe, mixing, quality_rules, sharding, toxicity
+from chronostrata.llm import byte_bpe, lm_scoring, mixing, quality_classifier, quality_rules, secrets, sharding, toxicity
 
 QUERIES = {
     "op2_quality_rules": quality_rules.query,
     "op3_byte_bpe": byte_bpe.query,
     "op4_toxicity": toxicity.query,
     "op5_source_mixing": mixing.query,
+    "op6_quality_classifier": quality_classifier.query,
+    "op7_secret_scans": secrets.query,
+    "op9_lm_scoring": lm_scoring.query,
     "op10_sharding": sharding.query,
 }
 
 ORACLES = {
     "op2_quality_rules": quality_rules.ORACLE,
     "op5_source_mixing": mixing.ORACLE,
+    "op9_lm_scoring": lm_scoring.ORACLE,
 }
