@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronostrata.llm import byte_bpe, lm_scoring, mixing, quality_classifier, quality_rules, secrets, sharding, toxicity
+from chronostrata.llm import byte_bpe, jaccard_join, lm_scoring, mixing, quality_classifier, quality_rules, secrets, sharding, toxicity
 
 QUERIES = {
     "op2_quality_rules": quality_rules.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_source_mixing": mixing.query,
     "op6_quality_classifier": quality_classifier.query,
     "op7_secret_scans": secrets.query,
+    "op8_ngram_jaccard_join": jaccard_join.query,
     "op9_lm_scoring": lm_scoring.query,
     "op10_sharding": sharding.query,
 }
