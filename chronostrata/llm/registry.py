@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from chronostrata.llm import byte_bpe, jaccard_join, lm_scoring, mixing, quality_classifier, quality_rules, secrets, sharding, toxicity
+from chronostrata.llm import byte_bpe, jaccard_join, lm_scoring, mixing, quality_classifier, quality_rules, secrets, sharding, topk, toxicity
 
 QUERIES = {
+    "op1_topk_search": topk.query,
     "op2_quality_rules": quality_rules.query,
     "op3_byte_bpe": byte_bpe.query,
     "op4_toxicity": toxicity.query,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_topk_search": topk.ORACLE,
     "op2_quality_rules": quality_rules.ORACLE,
     "op5_source_mixing": mixing.ORACLE,
     "op9_lm_scoring": lm_scoring.ORACLE,
