@@ -1,6 +1,6 @@
 """Documents packed into blocks, so that block-wise exchanges move arrays instead of a row per word.
 
-A block is one row: its number and an Arrow stream of (doc_id, text). The table is written to the shared
+A block is one row: its number and an Arrow stream of its documents, whatever their columns. The table is written to the shared
 folder, so a block keeps its number and its documents however often it is read again. An exchange sends
 every part of the hash space one array from each block and gets an array of the same length back.
 """
@@ -23,12 +23,15 @@ BLOCK_BYTES = 4 << 20
 
 
 def packed(docs: DataFrame, block_bytes: int = BLOCK_BYTES, count_words: bool = False) -> DataFrame:
-    """block, payload, n_words (null unless asked for): the checkpointed blocks of docs (doc_id, text)."""
+    """block, payload, n_words (null unless asked for): the checkpointed blocks of docs, with all columns of
+    docs: doc_id and text among them."""
+
+    text = docs.columns.index("text")
 
     def row(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         table, n = pa.Table.from_batches(held).combine_chunks(), None
         if count_words:
-            texts = [t or b"" for t in table.column(1).cast(pa.binary()).to_pylist()]
+            texts = [t or b"" for t in table.column(text).cast(pa.binary()).to_pylist()]
             n = sum(len(W.boundaries(W.joined(texts[i:j])[0])[0]) for i, j in W.pieces(texts))
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
@@ -40,7 +43,7 @@ def packed(docs: DataFrame, block_bytes: int = BLOCK_BYTES, count_words: bool =
         for b in batches:
             for i in range(0, b.num_rows, 64):
                 held.append(b.slice(i, 64))
-                size += held[-1].column(1).nbytes
+                size += held[-1].column(text).nbytes
                 if size >= block_bytes:
                     yield row(held)
                     held, size = [], 0
@@ -48,14 +51,22 @@ def packed(docs: DataFrame, block_bytes: int = BLOCK_BYTES, count_words: bool =
             yield row(held)
 
     ship(docs.sparkSession)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(pack, "payload binary, n_words long")
+    rows = docs.mapInArrow(pack, "payload binary, n_words long")
     return cut(rows.select(F.monotonically_increasing_id().alias("block"), "payload", "n_words"))
 
 
-def opened(payload: bytes) -> tuple[pa.Array, list[bytes]]:
-    """The ids and the texts (null: empty) of a block."""
-    table = pa.ipc.open_stream(payload).read_all()
-    return table.column("doc_id").combine_chunks(), [t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()]
+def opened(payload: bytes) -> pa.Table:
+    return pa.ipc.open_stream(payload).read_all().combine_chunks()
+
+
+def column(table: pa.Table, name: str) -> pa.Array:
+    found = table.column(name).combine_chunks()
+    return found if isinstance(found, pa.Array) else pa.concat_arrays(found.chunks)
+
+
+def texts_of(table: pa.Table) -> list[bytes]:
+    """The texts of a block; null is empty."""
+    return [t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()]
 
 
 def parts_for(n_blocks: int, least: int = 64, most: int = 1 << 14) -> int:

@@ -72,20 +72,19 @@ def prefix(keys: np.ndarray, codes: np.ndarray, percent: int) -> tuple[int, np.n
     return demand, keys[first[codes[first] > 1]]
 
 
-def described(docs: DataFrame, percent: int) -> DataFrame:
-    """doc_id, n, digest, shared, demand, tokens, own: checkpointed.
+def described(table: DataFrame, percent: int) -> DataFrame:
+    """block, place, doc_id, n, digest, shared, demand, tokens, own for each document of the blocks: checkpointed.
 
     tokens and own (the set's shared shingles) are null where a document can have no partner, and where
     its block has the same set under a smaller doc_id.
     """
-    table = B.packed(docs)
     parts = B.parts_for(table.count())
     low = np.uint64(64 - (parts.bit_length() - 1) - 32)
 
     def sets_of(payload: bytes) -> tuple[pa.Array, list[np.ndarray], list[bytes], list[int], np.ndarray, np.ndarray]:
         """ids, sets, digests, which documents stand for their set, all their shingles, the distinct ones."""
-        ids, texts = B.opened(payload)
-        sets = W.shingle_sets(texts, SHINGLE)
+        held = B.opened(payload)
+        ids, sets = B.column(held, "doc_id").cast(pa.int64()), W.shingle_sets(B.texts_of(held), SHINGLE)
         digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
         first: dict[bytes, int] = {}
         known = ids.to_pylist()
@@ -119,7 +118,7 @@ def described(docs: DataFrame, percent: int) -> DataFrame:
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for payload, replies in zip(b.column("payload"), b.column("replies")):
+            for block, payload, replies in zip(b.column("block").to_pylist(), b.column("payload"), b.column("replies")):
                 ids, sets, digests, stand, flat, keys = sets_of(payload.as_py())
                 found = sorted((r["part"], r["reply"]) for r in replies.as_py() or ())
                 codes = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x, np.uint8) for _, x in found)])
@@ -135,14 +134,14 @@ def described(docs: DataFrame, percent: int) -> DataFrame:
                         demand[k], t = prefix(s, c, percent)
                         tokens[k], own[k] = t.view(np.int64), s[c > 1].tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [ids.cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([d if len(s) else None for d, s in zip(digests, sets)], pa.binary()), pa.array(shared, pa.int64()), pa.array(demand, pa.int32()), pa.array(tokens, pa.list_(pa.int64())), pa.array(own, pa.binary())],
-                    ["doc_id", "n", "digest", "shared", "demand", "tokens", "own"],
+                    [pa.array([block] * n, pa.int64()), pa.array(range(n), pa.int64()), ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([d if len(s) else None for d, s in zip(digests, sets)], pa.binary()), pa.array(shared, pa.int64()), pa.array(demand, pa.int32()), pa.array(tokens, pa.list_(pa.int64())), pa.array(own, pa.binary())],
+                    ["block", "place", "doc_id", "n", "digest", "shared", "demand", "tokens", "own"],
                 )
 
-    ship(docs.sparkSession)
+    ship(table.sparkSession)
     cells = table.mapInArrow(ask, "part int, block long, keys binary, counts binary")
     replies = cells.groupBy("part").applyInArrow(reply, "block long, part int, reply binary")
-    return cut(B.answered(table, replies).select("payload", "replies").mapInArrow(describe, "doc_id long, n long, digest binary, shared long, demand int, tokens array<long>, own binary"))
+    return cut(B.answered(table, replies).select("block", "payload", "replies").mapInArrow(describe, "block long, place long, doc_id long, n long, digest binary, shared long, demand int, tokens array<long>, own binary"))
 
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -161,8 +160,8 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInArrow(compare, "a long, b long")
 
 
-def links(found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(digest, rep), the classes of equal sets, and links (a, b) between rep that span all components."""
+def links(found: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between classes of equal sets, by their smallest doc_id, that span all components."""
     classes = found.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     involved = found.filter("own is not null").withColumnRenamed("doc_id", "d")
     named = cut(involved.join(classes, (involved["digest"] == classes["digest"]) & (involved["d"] == classes["rep"])).select("d", "n", "shared", "demand", "tokens", "own").dropDuplicates(["d"]))
@@ -185,20 +184,43 @@ def links(found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     allowed = (F.col("x.token") == F.col("y.token")) & (F.col("x.d") < F.col("y.d")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.n") <= F.col("y.reach")) & (F.col("y.n") <= F.col("x.reach"))
     met = x.join(y, allowed).select(F.col("x.d").alias("a"), F.col("y.d").alias("b"), F.least("x.demand", "y.demand").alias("demand"))
     met = met.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("demand").alias("demand")).filter("met >= demand").select("a", "b")
-    return classes, first.union(cut(compared(met.join(star.select("a", "b"), ["a", "b"], "left_anti").join(star.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), named, percent)))
+    return first.union(cut(compared(met.join(star.select("a", "b"), ["a", "b"], "left_anti").join(star.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), named, percent)))
+
+
+def labelled(table: DataFrame, percent: int) -> DataFrame:
+    """block, place, doc_id, n, component (null: a component of its own), first (the row that stands for
+    its set: smallest doc_id, then place), for each document of the blocks."""
+    found = described(table, percent)
+    linked = links(found, percent)
+    labels = components(linked)
+    firsts = found.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "block", "place")).alias("first")).withColumnRenamed("digest", "of")
+    named = firsts.join(labels.withColumnRenamed("node", "rep"), F.col("first.doc_id") == F.col("rep"), "left").select("of", "first", F.coalesce("label", "first.doc_id").alias("component"))
+    return found.select("block", "place", "doc_id", "n", "digest").join(named, F.col("digest") == F.col("of"), "left").drop("digest", "of")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each document."""
-    found = described(docs, percent)
-    classes, linked = links(found, percent)
-    labels = components(linked)
-    named = classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"))
-    return (
-        found.select("doc_id", "n", "digest")
-        .join(named, "digest", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
-    )
+    found = labelled(B.packed(docs.select("doc_id", F.col("text").cast("string").alias("text"))), percent)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """docs without the near copies: of each component the row of smallest doc_id stays, whole.
+
+    Rows travel inside their blocks; only the places of those that stay are joined to them.
+    """
+    table, schema = B.packed(docs), docs.schema
+    found = labelled(table, percent)
+    alone = F.col("component").isNull() | F.col("doc_id").isNull()
+    stands = (F.col("component") == F.col("doc_id")) & (F.col("first.block") == F.col("block")) & (F.col("first.place") == F.col("place"))
+    staying = found.filter(alone | stands).groupBy("block").agg(F.collect_list("place").alias("places"))  # a block has a bounded number
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for payload, places in zip(b.column("payload"), b.column("places")):
+                yield from B.opened(payload.as_py()).take(pa.array(sorted(places.as_py()))).to_batches()
+
+    return table.join(staying, "block").select("payload", "places").mapInArrow(keep, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

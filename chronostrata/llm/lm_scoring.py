@@ -74,7 +74,7 @@ def scores(counts: list[np.ndarray], at: np.ndarray, words: int, alpha: float, l
 
 def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int = LEAST) -> DataFrame:
     """doc_id, n_words, n_backoffs, score_micro (sum of ln, in millionths), mean_log_score."""
-    table = B.packed(docs, count_words=True)
+    table = B.packed(docs.select("doc_id", F.col("text").cast("string").alias("text")), count_words=True)
     size = table.agg(F.count("*").alias("blocks"), F.sum("n_words").alias("words")).first()
     parts, words = B.parts_for(size["blocks"]), size["words"] or 0
 
@@ -90,7 +90,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, l
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, payload in zip(b.column("block").to_pylist(), b.column("payload")):
-                _, keys, _, counts = keys_of(B.opened(payload.as_py())[1])
+                _, keys, _, counts = keys_of(B.texts_of(B.opened(payload.as_py())))
                 at = B.slices(keys, parts)
                 spans = [(k, i, j) for k, (i, j) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())) if j > i]
                 counts = counts.astype(np.uint32)
@@ -110,7 +110,8 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, l
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for payload, replies in zip(b.column("payload"), b.column("replies")):
-                ids, texts = B.opened(payload.as_py())
+                held = B.opened(payload.as_py())
+                ids, texts = B.column(held, "doc_id"), B.texts_of(held)
                 at, keys, inverse, _ = keys_of(texts)
                 found = sorted((r["part"], r["reply"]) for r in replies.as_py() or ())
                 total = np.concatenate([np.zeros(0, np.int64), *(unvaried(x) for _, x in found)])

@@ -80,24 +80,29 @@ def water_filled(sources: DataFrame, share: float, weights: Sequence[float], max
 def by_source(docs: DataFrame, table: DataFrame) -> DataFrame:
     """docs with the columns of ``table``, which has one row for each ``source``.
 
-    A table of few rows is broadcast, after a count. A larger one is repeated SALTS times and the rows
+    docs name it ``_source``. A table of few rows is broadcast, after a count. A larger one is repeated SALTS times and the rows
     of a source are dealt over the copies, so that no source is joined by one task.
     """
     table = table.withColumnRenamed("source", "_of")
     if table.count() <= BROADCAST_ROWS:
-        return docs.join(F.broadcast(table), docs["source"].eqNullSafe(table["_of"])).drop("_of")
+        return docs.join(F.broadcast(table), docs["_source"].eqNullSafe(table["_of"])).drop("_of")
     table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    docs = docs.withColumn("_dealt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    return docs.join(table, docs["source"].eqNullSafe(table["_of"]) & (docs["_dealt"] == table["_salt"])).drop("_of", "_salt", "_dealt")
+    docs = docs.withColumn("_dealt", F.pmod(F.xxhash64(*(F.col(c) for c in docs.columns if c != "_source")), F.lit(SALTS)).cast("int"))
+    return docs.join(table, docs["_source"].eqNullSafe(table["_of"]) & (docs["_dealt"] == table["_salt"])).drop("_of", "_salt", "_dealt")
 
 
-def mix(docs: DataFrame, share: float = SHARE, weights: Sequence[float] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 0, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """doc_id, source, size, source_size, target, epochs, taken; one row for each document."""
+def measured(docs: DataFrame, seed: int) -> DataFrame:
+    """docs with _source, _size and _key: the exponential key -ln(u) / quality of the sampling."""
     text = F.col("text").cast("string")
-    size = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(text).alias("size"), F.length(text).alias("chars"))
-    q = F.greatest(F.lit(LEAST_QUALITY), F.least(F.lit(MOST_QUALITY), quality(F.col("size"), F.col("chars"))))
-    slim = cut(size.withColumn("key", -F.log(unit(F.lit(seed), F.col("doc_id"))) / q).select("doc_id", "source", "size", "key"))
-    stats = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_docs"))
+    rows = docs.withColumns({"_source": F.col("source").cast("string"), "_size": word_count(text)})
+    q = F.greatest(F.lit(LEAST_QUALITY), F.least(F.lit(MOST_QUALITY), quality(F.col("_size"), F.length(text))))
+    return rows.withColumn("_key", -F.log(unit(F.lit(seed), F.col("doc_id"))) / q)
+
+
+def planned(slim: DataFrame, share: float, weights: Sequence[float], max_epochs: int, range_rows: int) -> DataFrame:
+    """For each source: source_size, target, epochs, cut (the last document of the prefix taken once
+    more) and last (one document more), both as (_key, doc_id, _size). slim is checkpointed."""
+    stats = slim.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size"), F.count("*").alias("source_docs"))
     targets = cut(
         water_filled(stats, share, weights, max_epochs)
         .withColumn("epochs", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("bigint"))
@@ -106,22 +111,49 @@ def mix(docs: DataFrame, share: float = SHARE, weights: Sequence[float] = WEIGHT
         .drop("source_docs")
     )
     # 1 - exp(-key) spreads the keys of quality 1 evenly over (0, 1) and keeps their order.
-    d = by_source(slim, targets).withColumn("range", F.least(F.col("ranges") - 1, F.floor((1.0 - F.exp(-F.col("key"))) * F.col("ranges"))).cast("bigint"))
-    sums = d.groupBy("source", "range").agg(F.sum("size").alias("in_range"))
+    d = by_source(slim, targets).withColumn("range", F.least(F.col("ranges") - 1, F.floor((1.0 - F.exp(-F.col("_key"))) * F.col("ranges"))).cast("bigint"))
+    sums = d.groupBy("_source", "range").agg(F.sum("_size").alias("in_range"))
     before = sums.select(
-        F.col("source").alias("of"), F.col("range").alias("at"), F.coalesce(F.sum("in_range").over(W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before")
+        F.col("_source").alias("of"), F.col("range").alias("at"), F.coalesce(F.sum("in_range").over(W.partitionBy("_source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before")
     )
-    d = d.join(before, d["source"].eqNullSafe(before["of"]) & (d["range"] == before["at"])).drop("of", "at")
-    order = W.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    d = cut(d.withColumn("chosen", F.col("before") + F.sum("size").over(order) <= F.col("rest")).select("doc_id", "source", "size", "key", "source_size", "target", "epochs", "rest", "chosen"))
+    d = d.join(before, d["_source"].eqNullSafe(before["of"]) & (d["range"] == before["at"])).drop("of", "at")
+    # Equal rows are taken together: the frame holds all peers of a row.
+    upto = F.col("before") + F.sum("_size").over(W.partitionBy("_source", "range").orderBy("_key", "doc_id", "_size").rangeBetween(W.unboundedPreceding, W.currentRow))
+    d = cut(d.withColumn("chosen", upto <= F.col("rest")).select("_source", "rest", "chosen", F.struct("_key", "doc_id", "_size").alias("doc")))
+    prefix = d.groupBy("_source").agg((F.min("rest") - F.coalesce(F.sum(F.when(F.col("chosen"), F.col("doc._size"))), F.lit(0))).alias("gap"), F.max(F.when(F.col("chosen"), F.col("doc"))).alias("cut"))
+    prefix = cut(prefix.withColumnRenamed("_source", "source"))
     # The prefix stops short of its budget by less than one document: the one document whose size is
     # nearest the gap joins it, if that is nearer the budget than none.
-    gaps = d.groupBy("source").agg((F.min("rest") - F.coalesce(F.sum(F.when(F.col("chosen"), F.col("size"))), F.lit(0))).alias("gap"))
-    nearest = by_source(d.filter(~F.col("chosen") & (F.col("size") > 0)), gaps).filter(F.abs(F.col("gap") - F.col("size")) < F.col("gap")).groupBy("source")
-    last = cut(nearest.agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "key", "doc_id", "size")).alias("last")).withColumnRenamed("source", "_of"))
-    d = d.join(F.broadcast(last) if last.count() <= BROADCAST_ROWS else last, [d["source"].eqNullSafe(last["_of"]), d["key"] == last["last.key"], d["doc_id"].eqNullSafe(last["last.doc_id"]), d["size"] == last["last.size"]], "left")
-    more = F.when(F.col("chosen") | (~F.col("chosen") & F.col("last").isNotNull()), 1).otherwise(0)
-    return d.select("doc_id", "source", "size", "source_size", "target", "epochs", (F.col("size") * F.least(F.col("epochs") + more, F.lit(max_epochs))).cast("bigint").alias("taken"))
+    off = F.abs(F.col("gap") - F.col("doc._size"))
+    nearest = by_source(d.filter(~F.col("chosen") & (F.col("doc._size") > 0)), prefix).filter(off < F.col("gap")).groupBy(F.col("_source").alias("source"))
+    last = nearest.agg(F.min(F.struct(off.alias("off"), "doc")).alias("x")).select("source", F.col("x.doc").alias("last"))
+    plan = targets.select("source", "source_size", "target", "epochs").alias("t").join(prefix.alias("p"), F.col("t.source").eqNullSafe(F.col("p.source")), "left").select("t.*", "cut")
+    plan = plan.alias("t").join(last.alias("l"), F.col("t.source").eqNullSafe(F.col("l.source")), "left")
+    return cut(plan.select("t.*", "last"))
+
+
+def decided(rows: DataFrame, plan: DataFrame, max_epochs: int) -> DataFrame:
+    """rows (with _source, _size, _key) with source_size, target and _times, how often each is taken."""
+    doc = F.struct("_key", "doc_id", "_size")
+    more = F.when(F.coalesce(doc <= F.col("cut"), F.lit(False)) | F.coalesce(doc == F.col("last"), F.lit(False)), 1).otherwise(0)
+    return by_source(rows, plan).withColumn("_times", F.least(F.col("epochs") + more, F.lit(max_epochs)).cast("int")).drop("cut", "last", "epochs")
+
+
+def mix(docs: DataFrame, share: float = SHARE, weights: Sequence[float] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 0, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken; one row for each document."""
+    slim = cut(measured(docs, seed).select("doc_id", "_source", "_size", "_key"))
+    d = decided(slim, planned(slim, share, weights, max_epochs, range_rows), max_epochs)
+    return d.select("doc_id", F.col("_source").alias("source"), F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("_times")).cast("bigint").alias("taken"))
+
+
+def mixed(docs: DataFrame, share: float = SHARE, weights: Sequence[float] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 0, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """The mixture itself: every row of docs as often as it is taken. Texts are never shuffled: a row
+    tells from its key and the plan of its source whether it is in."""
+    slim = cut(measured(docs.select("doc_id", "text", "source"), seed).select("doc_id", "_source", "_size", "_key"))
+    plan = planned(slim, share, weights, max_epochs, range_rows)
+    inner = F.struct(*docs.columns).alias("_row")
+    rows = measured(docs.select("doc_id", "text", "source", inner), seed).drop("text", "source")
+    return decided(rows, plan, max_epochs).filter("_times > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
