@@ -2,32 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from chronostrata.plans import links, timeline
 
-from chronostrata.operators import intervals
-
-
-def hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hours in which a user had events, as one-hour spans on an integer timeline."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.select("user_id", F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600).cast("bigint").alias("hour")).distinct().withColumn("hours", F.lit(1).cast("bigint"))
-
-
-HOURS_SQL = "hours as (select distinct user_id, cast(floor(epoch(ts) / 3600) as bigint) as hour from events)"
-
-
-def w1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.coalesce_islands(hours(spark, sf_dir), "user_id", "hour", "hours")
-
-
-W1_SQL = f"""
-with {HOURS_SQL},
-b as (select user_id, hour, case when lag(hour + 1) over (partition by user_id order by hour) = hour then 0 else 1 end as fresh from hours),
-n as (select user_id, hour, sum(fresh) over (partition by user_id order by hour) as island from b),
-m as (select user_id, min(hour) as start, count(*) as frames from n group by user_id, island)
-select user_id, start, frames, cast(coalesce(sum(frames) over (partition by user_id order by start rows between unbounded preceding and 1 preceding), 0) as bigint) as packed_offset from m"""
-
-
-QUERIES = {"w1_coalesce_islands": w1}
-ORACLES = {"w1_coalesce_islands": W1_SQL}
+FAMILIES = (timeline, links)
+QUERIES = {k: v for f in FAMILIES for k, v in f.QUERIES.items()}
+ORACLES = {k: v for f in FAMILIES for k, v in f.ORACLES.items()}
