@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from chronostrata.plans import links, timeline
+from chronostrata.plans import links, scalars, timeline
 
-FAMILIES = (timeline, links)
+FAMILIES = (timeline, links, scalars)
 QUERIES = {k: v for f in FAMILIES for k, v in f.QUERIES.items()}
 ORACLES = {k: v for f in FAMILIES for k, v in f.ORACLES.items()}
