@@ -82,6 +82,23 @@ def slices(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted unsigned keys as the first one and the steps from each to the next, in the fewest whole
+    bytes that hold the largest step."""
+    steps = np.diff(keys.astype(np.uint64))
+    width = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + keys[:1].astype("<u8").tobytes() + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    width = data[0]
+    steps = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
+    out = np.zeros((len(steps) + 1, 8), np.uint8)
+    out[1:, :width] = steps
+    out[0] = np.frombuffer(data, np.uint8, 8, 1)
+    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
+
+
 def answered(blocks: DataFrame, replies: DataFrame) -> DataFrame:
     """blocks with their replies (part, reply) gathered: as many as there are parts, for each block."""
     own = replies.groupBy("block").agg(F.collect_list(F.struct("part", "reply")).alias("replies"))

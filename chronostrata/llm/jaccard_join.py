@@ -12,10 +12,10 @@ for all documents, so the order stays one order. A shingle counted once is in no
 with fewer shared shingles than t has no partner and goes no further.
 
 Equal sets are one class, named by its smallest doc_id. Within the list of classes that share a prefix
-shingle, all are compared with the most central class first; links become components; then only pairs
-in different components that lengths, shared shingles and the multi-match demand still allow are
-compared. Copies and near copies thus cost a few comparisons each instead of one for each pair, and no
-link between different components is missed.
+shingle, all are compared with the most central class first, the hub; links become components. Pairs in
+different components are then compared only where lengths and overlaps with the hub still allow a link
+(see links()). Copies and near copies thus cost a few comparisons each instead of one for each pair,
+and no link between different components is missed.
 
 Words are `[^\\x20\\x09-\\x0D]+`, A-Z in lower case; fewer than five words are one shingle. Defined
 results: a text without words has an empty set, links with nothing and is its own component; a null
@@ -104,12 +104,12 @@ def described(table: DataFrame, percent: int) -> DataFrame:
                 counts = coded(counts)
                 spans = [(k, i, j) for k, (i, j) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())) if j > i]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k for k, _, _ in spans], pa.int32()), pa.array([block] * len(spans), pa.int64()), pa.array([short[i:j].tobytes() for _, i, j in spans], pa.binary()), pa.array([counts[i:j].tobytes() for _, i, j in spans], pa.binary())],
+                    [pa.array([k for k, _, _ in spans], pa.int32()), pa.array([block] * len(spans), pa.int64()), pa.array([B.packed_keys(short[i:j]) for _, i, j in spans], pa.binary()), pa.array([counts[i:j].tobytes() for _, i, j in spans], pa.binary())],
                     ["part", "block", "keys", "counts"],
                 )
 
     def reply(cells: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x, np.uint32) for x in cells.column("keys").to_pylist()]
+        keys = [B.unpacked_keys(x) for x in cells.column("keys").to_pylist()]
         counts = np.concatenate([decoded(np.frombuffer(x, np.uint8)) for x in cells.column("counts").to_pylist()])
         _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         total = coded(np.rint(np.bincount(inverse, counts))[inverse])
@@ -145,46 +145,70 @@ def described(table: DataFrame, percent: int) -> DataFrame:
 
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold: exact, on the shingle sets."""
-    left, right = sets.select(F.col("d").alias("a"), F.col("n").alias("na"), F.col("own").alias("sa")), sets.select(F.col("d").alias("b"), F.col("n").alias("nb"), F.col("own").alias("sb"))
+    """a, b, na, nb, both, linked, rest for pairs (a, b) of documents.
+
+    A pair whose prefixes share fewer shingles than the smaller demand is not linked; any other is
+    verified on the whole sets. ``rest`` is a prefix of the shared shingles of a that b lacks: two
+    documents a that are linked although b does not explain it share one of these.
+    """
+    left = sets.select(F.col("d").alias("a"), F.col("n").alias("na"), F.col("demand").alias("la"), F.col("tokens").alias("ta"), F.col("own").alias("sa"))
+    right = sets.select(F.col("d").alias("b"), F.col("n").alias("nb"), F.col("demand").alias("lb"), F.col("tokens").alias("tb"), F.col("own").alias("sb"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for na, nb, sa, sb in zip(b.column("na").to_pylist(), b.column("nb").to_pylist(), b.column("sa"), b.column("sb")):
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("na", "nb", "la", "lb", "ta", "tb")]
+            both, linked, rest = [], [], []
+            for na, nb, la, lb, ta, tb, sa, sb in zip(*columns, batch.column("sa"), batch.column("sb")):
                 x, y = np.frombuffer(sa.as_buffer(), np.uint64), np.frombuffer(sb.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (na + nb - both))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                inside = np.isin(x, y, assume_unique=True)
+                both.append(n := int(inside.sum()))
+                linked.append(len(set(ta).intersection(tb)) >= min(la, lb) and 100 * n >= percent * (na + nb - n))
+                more, least = x[~inside], max(1, least_overlap(na, percent) - n)
+                rest.append(more[: len(more) - least + 1].view(np.int64) if len(more) >= least else [])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "na", "nb")), pa.array(both, pa.int64()), pa.array(linked, pa.bool_()), pa.array(rest, pa.list_(pa.int64()))], ["a", "b", "na", "nb", "both", "linked", "rest"])
 
-    return pairs.join(left, "a").join(right, "b").mapInArrow(compare, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").mapInArrow(compare, "a long, b long, na long, nb long, both long, linked boolean, rest array<long>")
 
 
 def links(found: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between classes of equal sets, by their smallest doc_id, that span all components."""
+    """Links (a, b) between classes of equal sets, by their smallest doc_id, that span all components.
+
+    The documents of a token's list are compared with its hub, the one with the largest share of shared
+    shingles. Two documents d, e of a list in different components overlap by min(|d & hub|, |e & hub|)
+    shingles of the hub at most; where that is too little, they share shingles that the hub lacks, and
+    meet in the lists of these. Lists of one component are closed.
+    """
     classes = found.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    involved = found.filter("own is not null").withColumnRenamed("doc_id", "d")
-    named = cut(involved.join(classes, (involved["digest"] == classes["digest"]) & (involved["d"] == classes["rep"])).select("d", "n", "shared", "demand", "tokens", "own").dropDuplicates(["d"]))
-    entries = named.select("d", "n", "shared", "demand", F.explode("tokens").alias("token"))
+    involved = found.filter("own is not null").select(F.col("doc_id").alias("d"), "digest", "n", "shared", "demand", "tokens", "own")
+    sets = involved.select("d", "n", "demand", "tokens", "own")
+    named = involved.drop("own").join(classes, (involved["digest"] == classes["digest"]) & (involved["d"] == classes["rep"]))
     # Two sets of sizes n and m need an overlap of p / (100 + p) * (n + m), which neither's shared
     # shingles may fall short of: partners of n have at most ``reach`` shingles.
     reach = F.expr(f"cast(floor(shared * {100 + percent} / {percent}) as bigint) - n").alias("reach")
-    entries = entries.select("token", "d", "n", "demand", reach, (F.col("shared") / F.col("n")).alias("central"))
-    lists = entries.groupBy("token").agg(F.count("*").alias("size"), F.min("n").alias("least"), F.max(F.struct("central", -F.col("d"), F.col("d").alias("d"), "n", "reach")).alias("hub"))
-    open_lists = lists.filter("size > 1").select("token", "least", F.col("hub.d").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.reach").alias("hub_reach"))
-    entries = cut(entries.join(open_lists, "token").filter("reach >= least"))
-    star = entries.filter("d <> hub and hub_n <= reach and n <= hub_reach").select(F.col("d").alias("a"), F.col("hub").alias("b")).distinct()
-    first = cut(compared(star, named, percent))
+    entries = cut(named.select("d", "n", reach, (F.col("shared") / F.col("n")).alias("central"), F.explode("tokens").alias("token")))
+    lists = entries.groupBy("token").agg(F.count("*").alias("size"), F.min("n").alias("least"), F.max(F.struct("central", -F.col("d"), F.col("d").alias("d"))).alias("hub"))
+    lists = lists.filter("size > 1").select("token", "least", F.col("hub.d").alias("hub"))
+    star = entries.join(lists, "token").filter("reach >= least and d <> hub").select(F.col("d").alias("a"), F.col("hub").alias("b"), "reach").distinct()
+    seen = cut(compared(star.select("a", "b"), sets, percent).join(star, ["a", "b"]))
+    first = seen.filter("linked").select("a", "b")
     labels = components(first)
-    # What is still open: lists with several components among the classes that may have partners.
-    known = entries.join(labels.select(F.col("node").alias("d"), "label"), "d", "left").select("token", "d", "n", "demand", "reach", F.coalesce("label", "d").alias("label"))
-    several = known.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token")
-    rest = cut(known.join(several, "token"))
-    x, y = rest.alias("x"), rest.alias("y")
-    allowed = (F.col("x.token") == F.col("y.token")) & (F.col("x.d") < F.col("y.d")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.n") <= F.col("y.reach")) & (F.col("y.n") <= F.col("x.reach"))
-    met = x.join(y, allowed).select(F.col("x.d").alias("a"), F.col("y.d").alias("b"), F.least("x.demand", "y.demand").alias("demand"))
-    met = met.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("demand").alias("demand")).filter("met >= demand").select("a", "b")
-    return first.union(cut(compared(met.join(star.select("a", "b"), ["a", "b"], "left_anti").join(star.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), named, percent)))
+    known = seen.join(labels.select(F.col("node").alias("a"), "label"), "a", "left").select(F.col("a").alias("d"), F.col("b").alias("hub"), F.col("na").alias("n"), "both", "reach", "rest", F.coalesce("label", "a").alias("label"))
+    counts = known.groupBy("hub", "label").agg(F.count("*").alias("rows"), F.min("n").alias("n"))
+    hubs = counts.groupBy("hub").agg(F.max_by("label", F.struct("rows", "label")).alias("main"), F.count("*").alias("labels"), F.min("n").alias("least")).filter("labels > 1").drop("labels")
+    known = cut(known.join(hubs, "hub"))
+    may = (F.col("x.label") != F.col("y.label")) & (F.col("x.n") <= F.col("y.reach")) & (F.col("y.n") <= F.col("x.reach"))
+    pair = [F.least("x.d", "y.d").alias("a"), F.greatest("x.d", "y.d").alias("b")]
+    need = f"{100 + percent} * {{both}} >= {percent} * (n + least)"
+    # Pairs that the hub alone may explain: one of the two is outside the hub's main component.
+    enough = known.filter(need.format(both="both"))
+    x1, y1 = enough.filter("label <> main").alias("x"), enough.alias("y")
+    explained = F.least("x.both", "y.both") * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
+    by_hub = x1.join(y1, (F.col("x.hub") == F.col("y.hub")) & may & explained).select(*pair)
+    spread = known.select("hub", "d", "n", "both", "reach", "label", F.explode("rest").alias("more"))
+    x2, y2 = spread.alias("x"), spread.alias("y")
+    by_rest = x2.join(y2, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.more") == F.col("y.more")) & (F.col("x.d") < F.col("y.d")) & may).select(*pair)
+    second = compared(by_hub.union(by_rest).distinct(), sets, percent).filter("linked").select("a", "b")
+    return first.union(cut(second))
 
 
 def labelled(table: DataFrame, percent: int) -> DataFrame:
