@@ -93,15 +93,14 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, l
                 _, keys, _, counts = keys_of(B.texts_of(B.opened(payload.as_py())))
                 at = B.slices(keys, parts)
                 spans = [(k, i, j) for k, (i, j) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())) if j > i]
-                counts = counts.astype(np.uint32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k for k, _, _ in spans], pa.int32()), pa.array([block] * len(spans), pa.int64()), pa.array([keys[i:j].tobytes() for _, i, j in spans], pa.binary()), pa.array([counts[i:j].tobytes() for _, i, j in spans], pa.binary())],
+                    [pa.array([k for k, _, _ in spans], pa.int32()), pa.array([block] * len(spans), pa.int64()), pa.array([B.packed_keys(keys[i:j]) for _, i, j in spans], pa.binary()), pa.array([varied(counts[i:j]) for _, i, j in spans], pa.binary())],
                     ["part", "block", "keys", "counts"],
                 )
 
     def reply(cells: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x, np.uint64) for x in cells.column("keys").to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in cells.column("counts").to_pylist()])
+        keys = [B.unpacked_keys(x) for x in cells.column("keys").to_pylist()]
+        counts = np.concatenate([unvaried(x) for x in cells.column("counts").to_pylist()])
         _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(inverse, counts)[inverse].astype(np.int64)
         at = np.cumsum([0, *map(len, keys)])
