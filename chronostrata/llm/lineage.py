@@ -28,10 +28,18 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 _shipped: set[str] = set()
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per application: their Python imports it in tasks."""
+    """Give the executors this package, once per application: their Python imports it in tasks.
+
+    Batches that go to Python are held to BATCH_BYTES, so that long texts do not add up to thousands of
+    rows times their length in a worker.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

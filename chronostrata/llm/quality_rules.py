@@ -112,10 +112,10 @@ def measured(docs: DataFrame, stop_words: str = STOP_WORDS) -> DataFrame:
         *kept,
         F.expr("sort_array(transform(filter(g, (x, i) -> (i > 0 and x.w = g[i - 1].w) or (i < size(g) - 1 and x.w = g[i + 1].w)), x -> x.i))").alias("q"),
     )
-    return t.select(
-        *kept,
-        F.expr("aggregate(transform(q, (x, i) -> cast(if(i < size(q) - 1, least(5, q[i + 1] - x), 5) as bigint)), 0L, (a, b) -> a + b)").alias("n_repeat_words"),
-    )
+    repeated = F.expr("aggregate(transform(q, (x, i) -> cast(if(i < size(q) - 1, least(5, q[i + 1] - x), 5) as bigint)), 0L, (a, b) -> a + b)")
+    # Always taken, but not deterministic in the optimizer's eyes: a filter on these columns would else be
+    # pushed below all projections, and their expressions written out within one another.
+    return t.select(*kept, F.when(F.monotonically_increasing_id() >= 0, repeated).alias("n_repeat_words"))
 
 
 def compiled(rules: tuple[Rule, ...] = RULES) -> Column:
