@@ -4,10 +4,11 @@ Encoding: a text is split by the tokenizer's pattern, and every piece runs throu
 transducer over its bytes. After each prefix of a piece the last token of the prefix's encoding is
 unique: of the vocabulary entries that end there, the one whose predecessor (the last token where it
 starts) may stand before it. Two tokens may stand side by side when merging their joined bytes gives
-the two again; a sequence is an encoding when all neighbours may. A state holds the entries that may
-still grow (trie node, token before it, tokens not yet emitted); tokens that all of them share are
-emitted, so output lags by one vocabulary entry at most. States and transitions are made when a text
-first needs them and kept in a bounded table.
+the two again; a sequence is an encoding when all neighbours may. A state is the set of entries that
+may still grow (trie node, token before it); a transition names the token that ends at its byte. The
+tokens on the way back from every entry that may still grow are certain and are emitted: output lags
+behind by the longest vocabulary entry and what hangs on it. States and transitions are made when a
+text first needs them and kept in a bounded table.
 
 Decoding: token bytes are joined in order and an incremental UTF-8 machine holds back the unfinished
 character at the end of each chunk.
@@ -19,6 +20,7 @@ named like the output is replaced; other columns stay.
 
 from __future__ import annotations
 
+import array
 import base64
 import functools
 from collections.abc import Iterable, Iterator
@@ -26,6 +28,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,11 +37,16 @@ from pyspark.sql import types as T
 from chronostrata.llm.lineage import ship
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Bounds on the tables that a worker keeps: states of the transducer, pieces with their ids.
-MAX_STATES, MAX_PIECES = 150_000, 150_000
+#: Bounds on the tables that a worker keeps: states of the transducer, chunks of text with their ids (twice
+#: so many: the last full table is kept beside the one being filled).
+MAX_STATES, MAX_PIECES = 100_000, 100_000
 ROWS = 256
 #: Nodes with at most so many entries below are looked into before a state keeps them.
-FEW = 12
+FEW = 3
+#: The first bytes of a piece are looked up in one step.
+HEAD = 6
+#: Bytes of a piece that wait at most before what is certain is emitted.
+HOLD = 4096
 NEVER = 1 << 62
 
 
@@ -56,6 +64,8 @@ class Transducer:
         self.spelled = {v: k for k, v in ranks.items()}
         self.child: dict[int, int] = {}  # node << 8 | byte -> node
         self.token_at: dict[int, int] = {}  # node -> token
+        self.length = {v: len(k) for k, v in ranks.items()}
+        self.depth = [0]
         nodes = 1
         for token, rank in ranks.items():
             at = 0
@@ -63,6 +73,7 @@ class Transducer:
                 key = at << 8 | b
                 if (to := self.child.get(key)) is None:
                     to = self.child[key] = nodes
+                    self.depth.append(self.depth[at] + 1)
                     nodes += 1
                 at = to
             self.token_at[at] = rank
@@ -83,9 +94,10 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
-        start = ((0, -1, ()),)
+        start = ((0, -1),)
         self.states, self.numbers = [start], {start: 0}
-        self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.steps: dict[int, tuple[int, int]] = {}
+        self.heads: dict[bytes, tuple[int, list[int]]] = {}
 
     def merged(self, data: bytes, stop: int = 1) -> list[bytes]:
         """Parts by the definition: join the neighbours of lowest rank, leftmost first, down to ``stop`` parts or while any has one."""
@@ -141,78 +153,114 @@ class Transducer:
             known = self.grows[node, last] = under is None or any(self.merges_to_itself(t) and (last < 0 or self.may_follow(last, t)) for t in under)
         return known
 
-    def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The transition of a state by a byte: the next state and the tokens now certain."""
+    def step(self, state: int, byte: int) -> tuple[int, int]:
+        """The transition of a state by a byte: the next state, and the token that ends here."""
         alive, here = [], None
-        for node, last, pending in self.states[state]:
+        for node, last in self.states[state]:
             to = self.child.get(node << 8 | byte)
             if to is None:
                 continue
+            if here is None and (token := self.token_at.get(to)) is not None and self.merges_to_itself(token) and (last < 0 or self.may_follow(last, token)):
+                here = token
             if self.may_grow(to, last):
-                alive.append((to, last, pending))
-            token = self.token_at.get(to)
-            if here is None and token is not None and self.merges_to_itself(token) and (last < 0 or self.may_follow(last, token)):
-                here = (0, token, (*pending, token))
+                alive.append((to, last))
         if here is None:
             raise ValueError(f"no token of the vocabulary ends with byte {byte}")
-        alive.append(here)
-        shared = alive[0][2]
-        for _, _, pending in alive[1:]:
-            n = 0
-            for x, y in zip(shared, pending):
-                if x != y:
-                    break
-                n += 1
-            shared = shared[:n]
-        key = tuple((node, last, pending[len(shared) :]) for node, last, pending in alive)
+        alive.append((0, here))
+        key = tuple(alive)
         number = self.numbers.get(key)
         if number is None:
             number = self.numbers[key] = len(self.states)
             self.states.append(key)
-        self.steps[state << 8 | byte] = out = (number, shared)
+        self.steps[state << 8 | byte] = out = (number, here)
         return out
 
+    def way_back(self, ends: list[int], at: int) -> list[int]:
+        """Positions at which tokens end, from ``at`` back to the start of ``ends``."""
+        way = [at]
+        while at > 0:
+            at -= self.length[ends[at - 1]]
+            way.append(at)
+        return way
+
+    def certain(self, state: int, ends: list[int]) -> int:
+        """The last position that lies on the way back of every entry that may still grow."""
+        common = set(self.way_back(ends, len(ends)))
+        for node, _ in self.states[state]:
+            common &= set(self.way_back(ends, len(ends) - self.depth[node]))
+        return max(common)
+
     def encode(self, piece: bytes) -> list[int]:
         """The tokens of one piece of the split text."""
         if (rank := self.ranks.get(piece)) is not None:
             return [rank]
         if len(self.states) > self.max_states:
             self.reset()
-        state, out, steps = 0, [], self.steps
-        for byte in piece:
-            known = steps.get(state << 8 | byte) or self.step(state, byte)
-            state = known[0]
-            if known[1]:
-                out.extend(known[1])
-        out.extend(self.states[state][-1][2])
-        return out
-
-
-class Pieces(dict):
-    """Pieces of split text to their packed ids; forgotten when there are too many."""
-
-    def __init__(self, transducer: Transducer, most: int = MAX_PIECES):
+        steps, head, out = self.steps, piece[:HEAD], []
+        if (known := self.heads.get(head)) is not None:
+            state, ends = known[0], known[1].copy()
+        else:
+            state, ends = 0, []
+            for byte in head:
+                state, token = steps.get(state << 8 | byte) or self.step(state, byte)
+                ends.append(token)
+            self.heads[head] = state, ends.copy()
+        hold = HOLD
+        for byte in piece[HEAD:]:
+            state, token = steps.get(state << 8 | byte) or self.step(state, byte)
+            ends.append(token)
+            if len(ends) >= hold:
+                # Where nothing is certain yet, as in long runs of one letter, the next look is at twice the length.
+                hold = HOLD if (done := self.certain(state, ends)) else 2 * hold
+                out += [ends[i - 1] for i in self.way_back(ends, done)[-2::-1]]
+                del ends[:done]
+        return out + [ends[i - 1] for i in self.way_back(ends, len(ends))[-2::-1]]
+
+
+class Chunks(dict):
+    """Chunks of text to their packed ids, in two generations, so that frequent chunks stay."""
+
+    def __init__(self, transducer: Transducer, split, most: int = MAX_PIECES):
         super().__init__()
-        self.transducer, self.most = transducer, most
-
-    def __missing__(self, piece: str) -> bytes:
+        self.transducer, self.split, self.most, self.older = transducer, split, most, {}
+
+    def of_pieces(self, pieces: list[str]) -> bytes:
+        encode, ids = self.transducer.encode, array.array("i")
+        for p in pieces:
+            ids.extend(encode(p.encode("utf-8")))
+        return ids.tobytes()
+
+    def __missing__(self, chunk: str) -> bytes:
+        if (out := self.older.get(chunk)) is None:
+            pieces = self.split(chunk)
+            if len(pieces) > 1 and (first := self.get(pieces[0])) is not None:
+                out = first + self.of_pieces(pieces[1:])
+            else:
+                out = self.of_pieces(pieces)
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        out = self[piece] = np.array(self.transducer.encode(piece.encode("utf-8")), dtype="<i4").tobytes()
+        self[chunk] = out
         return out
 
 
 class Encoder:
+    """Encodes texts whole. A space or line feed between two other characters always begins a piece, so
+    a text is cut there first, and chunks (mostly words) that were met before are looked up."""
+
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
-        self.transducer = Transducer(ranks_of(path))
-        self.pieces, self.split = Pieces(self.transducer), regex.compile(pattern).findall
+        self.transducer, self.split = Transducer(ranks_of(path)), regex.compile(pattern).findall
+        self.chunks = Chunks(self.transducer, self.split)
+        self.uncut = regex.compile(r"\s\s|\x00").search if pattern == public_tokenizers.PATTERN else lambda _: True
 
     def packed(self, text: str) -> bytes:
-        """The ids of a text, four little-endian bytes each."""
-        return b"".join(map(self.pieces.__getitem__, self.split(text)))
+        """The ids of a text, four bytes each."""
+        if self.uncut(text):
+            return self.chunks.of_pieces(self.split(text))
+        return b"".join(map(self.chunks.__getitem__, text.replace(" ", "\x00 ").replace("\n", "\x00\n").split("\x00")))
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.packed(text), dtype="<i4").tolist()
+        return np.frombuffer(self.packed(text), dtype="i4").tolist()
 
 
 class Utf8Stream:
@@ -249,22 +297,32 @@ class Utf8Stream:
 
 
 class Decoder:
-    def __init__(self, path: str, chunk: int = 4096):
+    """Joins token bytes in order. Bytes of all tokens stand in one array, so many ids are looked up at once."""
+
+    def __init__(self, path: str, chunk: int = 1 << 16):
         ranks, self.chunk = ranks_of(path), chunk
-        self.spelled = [b""] * (max(ranks.values()) + 1)
+        spelled = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
-            self.spelled[rank] = token
-
-    def chunks(self, ids: list[int]) -> Iterator[bytes]:
-        for i in range(0, len(ids), self.chunk):
-            yield b"".join(map(self.spelled.__getitem__, ids[i : i + self.chunk]))
-
-    def text(self, chunks: Iterable[bytes]) -> str:
+            spelled[rank] = token
+        self.size = np.array([len(t) for t in spelled], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.letters = np.frombuffer(b"".join(spelled), np.uint8)
+
+    def joined(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of all ids, and where those of each id end."""
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        at = np.repeat(self.start[ids] - (ends - size), size)
+        at += np.arange(len(at))
+        return self.letters[at].tobytes(), ends
+
+    def text(self, data: bytes) -> str:
+        """The text of bytes that arrive in chunks cut anywhere."""
         stream = Utf8Stream()
-        return "".join([*map(stream.feed, chunks), stream.finish()])
+        return "".join([*(stream.feed(data[i : i + self.chunk]) for i in range(0, len(data), self.chunk)), stream.finish()])
 
     def decode(self, ids: list[int]) -> str:
-        return self.text(self.chunks(ids))
+        return self.text(self.joined(np.asarray(ids, np.int64))[0]) if ids else ""
 
 
 @functools.lru_cache(2)
@@ -303,7 +361,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", out: st
         for b in slices(batches):
             parts = [packed(t) if t else b"" for t in b.column(b.schema.get_field_index(text)).to_pylist()]
             ends = np.cumsum([0, *(len(p) // 4 for p in parts)], dtype=np.int32)
-            yield with_column(b, out, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), dtype="<i4"))), names)
+            yield with_column(b, out, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), dtype="i4"))), names)
 
     ship(docs.sparkSession)
     return docs.mapInArrow(run, schema)
@@ -318,8 +376,11 @@ def decode(rows: DataFrame, path: str | None = None, ids: str = "ids", out: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = decoder(path)
         for b in slices(batches):
-            values = b.column(b.schema.get_field_index(ids)).to_pylist()
-            yield with_column(b, out, pa.array([d.decode(v or []) for v in values], pa.string()), names)
+            lists = b.column(b.schema.get_field_index(ids))
+            counts = np.cumsum([0, *pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)])
+            data, ends = d.joined(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+            ends = np.concatenate([[0], ends])[counts].tolist()
+            yield with_column(b, out, pa.array([d.text(data[i:j]) for i, j in zip(ends, ends[1:])], pa.string()), names)
 
     ship(rows.sparkSession)
     return rows.mapInArrow(run, schema)
