@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from chronostrata.plans import links, scalars, timeline
+from chronostrata.plans import links, objects, scalars, timeline
 
-FAMILIES = (timeline, links, scalars)
+FAMILIES = (timeline, links, scalars, objects)
 QUERIES = {k: v for f in FAMILIES for k, v in f.QUERIES.items()}
 ORACLES = {k: v for f in FAMILIES for k, v in f.ORACLES.items()}
