@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronostrata.llm import words as W
+from chronostrata.llm import workers
 from chronostrata.llm.lineage import cut, ship
 
 #: Text in a block. Blocks times parts is the number of arrays exchanged, so let it grow with the
@@ -39,6 +40,7 @@ def packed(docs: DataFrame, block_bytes: int = BLOCK_BYTES, count_words: bool =
         return pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([n], pa.int64())], ["payload", "n_words"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.claim("blocks")
         held, size = [], 0
         for b in batches:
             for i in range(0, b.num_rows, 64):
@@ -47,6 +49,7 @@ def packed(docs: DataFrame, block_bytes: int = BLOCK_BYTES, count_words: bool =
                 if size >= block_bytes:
                     yield row(held)
                     held, size = [], 0
+                    workers.trim()
         if held:
             yield row(held)
 

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronostrata.llm import workers
 from chronostrata.llm.lineage import ship
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -335,6 +336,9 @@ def decoder(path: str) -> Decoder:
     return Decoder(path)
 
 
+workers.keeps(lambda: (encoder.cache_clear(), decoder.cache_clear()))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
@@ -357,6 +361,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", out: st
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.claim("byte_bpe")
         packed = encoder(path).packed
         for b in slices(batches):
             parts = [packed(t) if t else b"" for t in b.column(b.schema.get_field_index(text)).to_pylist()]
@@ -374,6 +379,7 @@ def decode(rows: DataFrame, path: str | None = None, ids: str = "ids", out: str
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.claim("byte_bpe")
         d = decoder(path)
         for b in slices(batches):
             lists = b.column(b.schema.get_field_index(ids))

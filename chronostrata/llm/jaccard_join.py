@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from chronostrata.llm import blocks as B
 from chronostrata.llm import words as W
+from chronostrata.llm import workers
 from chronostrata.llm.components import components
 from chronostrata.llm.lineage import cut, ship
 
@@ -95,6 +96,7 @@ def described(table: DataFrame, percent: int) -> DataFrame:
         return ids, sets, digests, stand, flat, np.unique(flat)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.claim("blocks")
         for b in batches:
             for block, payload in zip(b.column("block").to_pylist(), b.column("payload")):
                 *_, flat, keys = sets_of(payload.as_py())
@@ -107,6 +109,7 @@ def described(table: DataFrame, percent: int) -> DataFrame:
                     [pa.array([k for k, _, _ in spans], pa.int32()), pa.array([block] * len(spans), pa.int64()), pa.array([B.packed_keys(short[i:j]) for _, i, j in spans], pa.binary()), pa.array([counts[i:j].tobytes() for _, i, j in spans], pa.binary())],
                     ["part", "block", "keys", "counts"],
                 )
+                workers.trim()
 
     def reply(cells: pa.Table) -> pa.Table:
         keys = [B.unpacked_keys(x) for x in cells.column("keys").to_pylist()]
@@ -117,6 +120,7 @@ def described(table: DataFrame, percent: int) -> DataFrame:
         return pa.table({"block": cells.column("block"), "part": cells.column("part"), "reply": pa.array([total[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())})
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.claim("blocks")
         for b in batches:
             for block, payload, replies in zip(b.column("block").to_pylist(), b.column("payload"), b.column("replies")):
                 ids, sets, digests, stand, flat, keys = sets_of(payload.as_py())
@@ -137,6 +141,7 @@ def described(table: DataFrame, percent: int) -> DataFrame:
                     [pa.array([block] * n, pa.int64()), pa.array(range(n), pa.int64()), ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([d if len(s) else None for d, s in zip(digests, sets)], pa.binary()), pa.array(shared, pa.int64()), pa.array(demand, pa.int32()), pa.array(tokens, pa.list_(pa.int64())), pa.array(own, pa.binary())],
                     ["block", "place", "doc_id", "n", "digest", "shared", "demand", "tokens", "own"],
                 )
+                workers.trim()
 
     ship(table.sparkSession)
     cells = table.mapInArrow(ask, "part int, block long, keys binary, counts binary")
@@ -155,6 +160,7 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     right = sets.select(F.col("d").alias("b"), F.col("n").alias("nb"), F.col("demand").alias("lb"), F.col("tokens").alias("tb"), F.col("own").alias("sb"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.claim("blocks")
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("na", "nb", "la", "lb", "ta", "tb")]
             both, linked, rest = [], [], []
@@ -240,6 +246,7 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     staying = found.filter(alone | stands).groupBy("block").agg(F.collect_list("place").alias("places"))  # a block has a bounded number
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.claim("blocks")
         for b in batches:
             for payload, places in zip(b.column("payload"), b.column("places")):
                 yield from B.opened(payload.as_py()).take(pa.array(sorted(places.as_py()))).to_batches()

@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from chronostrata.llm import blocks as B
 from chronostrata.llm import words as W
+from chronostrata.llm import workers
 from chronostrata.llm.lineage import ship
 
 ORDER, ALPHA, LEAST = 2, 0.4, 2
@@ -88,6 +89,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, l
         return at, keys, inverse, counts
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.claim("blocks")
         for b in batches:
             for block, payload in zip(b.column("block").to_pylist(), b.column("payload")):
                 _, keys, _, counts = keys_of(B.texts_of(B.opened(payload.as_py())))
@@ -97,6 +99,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, l
                     [pa.array([k for k, _, _ in spans], pa.int32()), pa.array([block] * len(spans), pa.int64()), pa.array([B.packed_keys(keys[i:j]) for _, i, j in spans], pa.binary()), pa.array([varied(counts[i:j]) for _, i, j in spans], pa.binary())],
                     ["part", "block", "keys", "counts"],
                 )
+                workers.trim()
 
     def reply(cells: pa.Table) -> pa.Table:
         keys = [B.unpacked_keys(x) for x in cells.column("keys").to_pylist()]
@@ -107,6 +110,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, l
         return pa.table({"block": cells.column("block"), "part": cells.column("part"), "reply": pa.array([varied(total[i:j]) for i, j in zip(at[:-1], at[1:])], pa.binary())})
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.claim("blocks")
         for b in batches:
             for payload, replies in zip(b.column("payload"), b.column("replies")):
                 held = B.opened(payload.as_py())

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronostrata.llm import words as W
+from chronostrata.llm import workers
 from chronostrata.llm.labelled import FUNCTION_WORDS, held_out, sample
 from chronostrata.llm.lineage import ship
 
@@ -168,6 +169,7 @@ def scored(docs: DataFrame, forest: Forest, text: str = "text", out: str = "scor
     names, shared = schema.names, docs.sparkSession.sparkContext.broadcast(forest)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.claim("quality_classifier")
         for b in batches:
             for i in range(0, b.num_rows, 1000):
                 s = b.slice(i, 1000)

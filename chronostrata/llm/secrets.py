@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronostrata.llm import workers
 from chronostrata.llm.lineage import ship
 
 KINDS = ("assign", "access", "hex")
@@ -289,6 +290,7 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.claim("secrets")
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
             for i in range(0, b.num_rows, 500):
