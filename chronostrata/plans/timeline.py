@@ -27,7 +27,10 @@ def islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iv.coalesce_islands(hours(spark, sf_dir), "user_id", "hour", "hours")
 
 
-FRAME_BYTES = ((F.col("user_id") % 2) + 1) * (2 + F.col("user_id") % 3 % 2)
+def frame_bytes():
+    return ((F.col("user_id") % 2) + 1) * (2 + F.col("user_id") % 3 % 2)
+
+
 FRAME_BYTES_SQL = "((user_id % 2) + 1) * (2 + user_id % 3 % 2)"
 
 ISLANDS_SQL = f"""hours as (select distinct user_id, cast(floor(epoch(ts) / 3600) as bigint) - {FIRST_HOUR} as hour from events),
@@ -52,7 +55,7 @@ def w1(spark, sf_dir):
 
 @query("w2_pcm_index", f"select user_id, start as start_frame, frames, cast(packed_offset * ({FRAME_BYTES_SQL}) as bigint) as byte_offset, cast(sum(frames) over (partition by user_id) * ({FRAME_BYTES_SQL}) as bigint) as active_bytes from islands")
 def w2(spark, sf_dir):
-    return iv.pcm_index(islands(spark, sf_dir), "user_id", FRAME_BYTES)
+    return iv.pcm_index(islands(spark, sf_dir), "user_id", frame_bytes())
 
 
 GAPS_SQL = f""", g as (select user_id, coalesce(lag(start + frames) over (partition by user_id order by start), 0) as a, start as b from islands
@@ -94,7 +97,7 @@ def w6(spark, sf_dir):
 
 @query("w7_warm_read_tiling", f", t as (select user_id, start, frames * {FRAME_BYTES_SQL} as b, packed_offset * {FRAME_BYTES_SQL} as o, unnest(range(0, frames * {FRAME_BYTES_SQL}, 5)) as a from islands) select user_id, start as start_frame, cast(o + a as bigint) as byte_offset, cast(least(5, b - a) as bigint) as bytes from t")
 def w7(spark, sf_dir):
-    rows = islands(spark, sf_dir).withColumn("total", F.col("frames") * FRAME_BYTES).withColumn("o", F.col("packed_offset") * FRAME_BYTES)
+    rows = islands(spark, sf_dir).withColumn("total", F.col("frames") * frame_bytes()).withColumn("o", F.col("packed_offset") * frame_bytes())
     return iv.tiled(rows, "total", 5, "a", "bytes").select("user_id", F.col("start").alias("start_frame"), (F.col("o") + F.col("a")).cast("bigint").alias("byte_offset"), "bytes")
 
 
@@ -197,4 +200,4 @@ COUNTS_SQL = f", z as (select user_id, frames * {FRAME_BYTES_SQL} as active, (st
 
 @query("a8_expected_counts", COUNTS_SQL)
 def a8(spark, sf_dir):
-    return iv.expected_counts(islands(spark, sf_dir), "user_id", HORIZON, FRAME_BYTES, 5, 64)
+    return iv.expected_counts(islands(spark, sf_dir), "user_id", HORIZON, frame_bytes(), 5, 64)
