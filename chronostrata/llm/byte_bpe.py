@@ -40,7 +40,7 @@ from chronostrata.llm.lineage import ship
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bounds on the tables that a worker keeps: states of the transducer, chunks of text with their ids (twice
 #: so many: the last full table is kept beside the one being filled).
-MAX_STATES, MAX_PIECES = 100_000, 100_000
+MAX_STATES, MAX_PIECES = 80_000, 80_000
 ROWS = 256
 #: Nodes with at most so many entries below are looked into before a state keeps them.
 FEW = 3
@@ -392,10 +392,32 @@ def decode(rows: DataFrame, path: str | None = None, ids: str = "ids", out: str
     return rows.mapInArrow(run, schema)
 
 
+def round_trip(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """docs with the ids of ``text`` and the text that these spell, in one pass of one worker."""
+    path, docs = vocabulary_path(path), docs.drop(ids, out)
+    schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False)), T.StructField(out, T.StringType())])
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.claim("byte_bpe")
+        packed, d = encoder(path).packed, decoder(path)
+        for b in slices(batches):
+            parts = [packed(t) if t else b"" for t in b.column(b.schema.get_field_index(text)).to_pylist()]
+            counts = np.cumsum([0, *(len(p) // 4 for p in parts)], dtype=np.int32)
+            flat = np.frombuffer(b"".join(parts), dtype="i4")
+            data, ends = d.joined(flat.astype(np.int64))
+            at = np.concatenate([[0], ends])[counts].tolist()
+            texts = pa.array([d.text(data[i:j]) for i, j in zip(at, at[1:])], pa.string())
+            lists = pa.ListArray.from_arrays(pa.array(counts), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in names[:-2]), lists, texts], names)
+
+    ship(docs.sparkSession)
+    return docs.mapInArrow(run, schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    back = decode(encode(docs).drop("text"))
-    return back.select(
+    return round_trip(docs).select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

@@ -38,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "text", "lang", "source")))
+    rows = byte_bpe.round_trip(docs.select("doc_id", "text", "lang", "source"))
     return rows.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
 
 

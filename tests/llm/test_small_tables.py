@@ -59,6 +59,12 @@ def test_byte_bpe(docs):
     assert got == Counter((d, tuple(own.encode_ordinary(t or "")), t or "") for d, t, *_ in rows())
 
 
+def test_round_trip_in_one_pass(docs):
+    two, one = byte_bpe.decode(byte_bpe.encode(docs)), byte_bpe.round_trip(docs)
+    read = lambda df: Counter((r["doc_id"], tuple(r["ids"]), r["decoded"]) for r in df.collect())
+    assert one.columns == two.columns and read(one) == read(two)
+
+
 def test_mixing(spark, docs):
     out = mixing.mix(docs).collect()
     size = {}
