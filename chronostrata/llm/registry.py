@@ -22,4 +22,5 @@ ORACLES = {
     "op2_quality_rules": quality_rules.ORACLE,
     "op5_source_mixing": mixing.ORACLE,
     "op9_lm_scoring": lm_scoring.ORACLE,
+    "op10_sharding": sharding.ORACLE,
 }

@@ -65,9 +65,26 @@ def shard_documents(docs: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS,
             rendezvous(F.col("doc_id"), [*weights, grown_weight]).alias("grown_shard"),
         )
     )
-    out = numbered(rows, "shard", F.xxhash64("doc_id", "text_crc32"), [F.col("doc_id"), F.col("text_crc32"), F.col("size")])
+    spread = F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_crc32").cast("string"))), 1, 8), 16, 10).cast("bigint")
+    out = numbered(rows, "shard", spread, [F.col("doc_id"), F.col("text_crc32"), F.col("size")])
     return out.select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("bigint").alias("slot"), "grown_shard")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _oracle() -> str:
+    """The same rows in SQL. The table of CRC-32 follows from its polynomial, 3988292384."""
+    u = lambda s: f"ln((cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '') || ':{s}'), 1, 12) as bigint) + 0.5::double) / 281474976710656::double)"
+    pick = lambda n: f"cast(list_position([{', '.join(u(s) for s in range(n))}], list_max([{', '.join(u(s) for s in range(n))}])) - 1 as integer)"
+    return f"""
+with t as (select list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, y: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as crc),
+d as (select row_number() over () as r, doc_id, coalesce(text, '') as text, hex(encode(coalesce(text, ''))) as h from documents),
+b as (select r, list_transform(range(strlen(text)), lambda i: cast('0x' || substr(h, 2 * i + 1, 2) as bigint)) as bytes from d),
+c as (select r, xor(list_reduce(list_prepend(4294967295::bigint, bytes), lambda c, x: xor(c >> 8, crc[1 + (xor(c, x) & 255)])), 4294967295::bigint) as text_crc32 from b, t),
+s as (select d.r, doc_id, cast(strlen(text) + 1 as bigint) as size, cast(text_crc32 as bigint) as text_crc32, {pick(SHARDS)} as shard, {pick(SHARDS + 1)} as grown_shard from d join c using (r))
+select doc_id, size, text_crc32, 'key' as law, shard, grown_shard, row_number() over (partition by shard order by cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '') || ':' || text_crc32), 1, 8) as bigint) % greatest(1, cast(ceil((select count(*) from d) / {RANGE_ROWS}.0) as bigint)), doc_id, text_crc32, size) - 1 as slot from s"""
+
+
+ORACLE = _oracle()
