@@ -2,8 +2,8 @@
 
 The text itself is the first layer. Every layer is scanned and unwrapped: URL escapes, Unicode escapes
 and references, base64 runs, and compressed data inside either. Each new layer joins the worklist unless
-a layer with the same content was seen before, so the list runs dry even on data that contain
-themselves. A layer knows, for each of its characters, which stretch of the original text it came from;
+a layer with the same content from the same places was seen before, so the list runs dry even on data
+that contain themselves, and equal content is followed wherever it stands. A layer knows, for each of its characters, which stretch of the original text it came from;
 what is found in it is reported as that stretch.
 
 Compressed data are read in windows of WINDOW characters that overlap by OVERLAP, so memory stays
@@ -73,6 +73,13 @@ class Layer:
             return start, end
         return int(self.starts[start]), int(self.ends[end - 1])
 
+    def key(self) -> bytes:
+        """A digest of the text and of where it came from."""
+        h = hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16)
+        for x in (self.starts, self.ends):
+            h.update(b"" if x is None else x.astype(np.int64).tobytes())
+        return h.digest()
+
     def replaced(self, parts: list[tuple[int, int, str]]) -> Layer:
         """This text with [start, end) given way to other texts, whose characters all come from there."""
         text, starts, ends, at = [], [], [], 0
@@ -248,22 +255,19 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
     """Spans of the text itself, and these with the spans of all layers below it."""
     base = scan(text)
     found, unwrap = set(base), Unwrapper()
-    todo, seen = deque([Layer(text)]), {digest(text)}
+    todo = deque([Layer(text)])
+    seen = {todo[0].key()}
     while todo:
         layer = todo.popleft()
         if layer.depth:
             found |= {(kind, *layer.origin(a, b)) for kind, a, b in scan(layer.text)}
         for x in unwrap.layers(layer):
-            if x.text and (d := digest(x.text)) not in seen:
+            if x.text and (d := x.key()) not in seen:
                 seen.add(d)
                 todo.append(x)
     return ordered(base), ordered(found)
 
 
-def digest(text: str) -> bytes:
-    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-
-
 def redacted(text: str, spans: list[Span]) -> str:
     """The text with each stretch of overlapping spans replaced by the kind of its first."""
     out, at = [], 0

@@ -68,6 +68,14 @@ def test_same_content_is_not_followed_again():
     assert x.find(text) == ([], [])
 
 
+@pytest.mark.parametrize("other", ["base64", "gzip", "quoted base64", "zstd"])
+def test_same_secret_is_found_at_every_place(other):
+    text = f"{LAYERS['base64']} and {LAYERS[other]} and {LAYERS['base64']}"
+    base, found = x.find(text)
+    assert base == [] and len(found) == 3
+    assert x.redacted(text, found).replace("%3D", "").replace("=", "") == "[assign] and [assign] and [assign]"
+
+
 def test_bomb_is_bounded(monkeypatch):
     monkeypatch.setattr(x, "MOST_UNPACKED", 1 << 21)
     assert x.find(b64(zlib.compress(b" " * (1 << 24))))[0] == []
