@@ -8,7 +8,8 @@ number of distinct n-grams in the input.
 
 A word's score is count(n-gram) / count(context) for the longest n-gram that the table has, times
 ALPHA for each order given up; the table holds n-grams of two words or more from LEAST occurrences on,
-and all words, scored count / words in the corpus. Logarithms are summed as whole millionths, so the
+and all words, scored count / words in the corpus. The query takes word pairs, as its SQL does; the trigram
+query takes three words and all counts, so no n-gram of the documents is unseen. Logarithms are summed as whole millionths, so the
 sum does not depend on its order.
 
 Words are `[^\\x20\\x09-\\x0D]+` with A-Z in lower case. Defined results: a null or empty text has no
@@ -160,3 +161,23 @@ s as (select g.r, case when m.c >= {LEAST} then m.c::double / x.c::double when g
 t as (select r, sum(cast(round_even(ln(p) * 1e6::double, 0) as bigint)) as micro, sum(lost) as lost from s group by r)
 select doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(lost, 0) as bigint) as n_backoffs, cast(coalesce(micro, 0) as bigint) as score_micro,
   cast(coalesce(micro, 0) as bigint)::double / 1e6::double / greatest(len(ws), 1)::double as mean_log_score from d left join t using (r)"""
+
+
+def trigram_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two words of context and every count above 0."""
+    return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), order=3, least=1)
+
+
+TRIGRAM_ORACLE = """
+with d as (select row_number() over () as r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+w as (select r, unnest(range(1, len(ws) + 1)) as i, ws from d),
+g as (select r, i, ws[i] as a, case when i > 1 then ws[i - 1] end as b, case when i > 2 then ws[i - 2] end as e from w),
+u as (select a, count(*) as c from g group by a),
+n as (select count(*) as words from g),
+m as (select b, a, count(*) as c from g where b is not null group by b, a),
+k as (select e, b, a, count(*) as c from g where e is not null group by e, b, a),
+s as (select g.r, case when g.e is not null then k.c::double / y.c::double when g.b is not null then m.c::double / x.c::double else u.c::double / n.words::double end as p
+      from g join u on u.a = g.a cross join n left join m on m.b = g.b and m.a = g.a left join u x on x.a = g.b left join k on k.e = g.e and k.b = g.b and k.a = g.a left join m y on y.b = g.e and y.a = g.b),
+t as (select r, sum(cast(round_even(ln(p) * 1e6::double, 0) as bigint)) as micro from s group by r)
+select doc_id, cast(len(ws) as bigint) as n_words, cast(0 as bigint) as n_backoffs, cast(coalesce(micro, 0) as bigint) as score_micro,
+  cast(coalesce(micro, 0) as bigint)::double / 1e6::double / greatest(len(ws), 1)::double as mean_log_score from d left join t using (r)"""

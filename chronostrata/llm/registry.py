@@ -14,6 +14,7 @@ QUERIES = {
     "op7_secret_scans": secrets.query,
     "op8_ngram_jaccard_join": jaccard_join.query,
     "op9_lm_scoring": lm_scoring.query,
+    "op9_lm_scoring_trigrams": lm_scoring.trigram_query,
     "op10_sharding": sharding.query,
 }
 
@@ -22,5 +23,6 @@ ORACLES = {
     "op2_quality_rules": quality_rules.ORACLE,
     "op5_source_mixing": mixing.ORACLE,
     "op9_lm_scoring": lm_scoring.ORACLE,
+    "op9_lm_scoring_trigrams": lm_scoring.TRIGRAM_ORACLE,
     "op10_sharding": sharding.ORACLE,
 }

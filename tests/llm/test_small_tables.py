@@ -10,6 +10,7 @@ import pytest
 import tiktoken
 
 from chronostrata.llm import byte_bpe, jaccard_join, lm_scoring, mixing, quality_classifier, quality_rules, secrets, sharding, toxicity
+from chronostrata.llm.registry import ORACLES, QUERIES
 from docs import clashing, documents, empty, rows
 
 SPACE = "[^\x20\x09-\x0d]+"
@@ -149,6 +150,21 @@ def test_lm_scoring(docs):
     assert got == want
 
 
+def test_lm_scoring_with_two_words_of_context(docs):
+    got = {(r["doc_id"], r["n_words"], r["n_backoffs"], r["score_micro"]) for r in lm_scoring.score_documents(docs, order=3, least=1).collect()}
+    texts = [(d, words((t or "").lower())) for d, t, *_ in rows()]
+    count = Counter(tuple(x[i - n : i]) for _, x in texts for n in (1, 2, 3) for i in range(n, len(x) + 1))
+    total, want = sum(len(x) for _, x in texts), set()
+    for d, x in texts:
+        grams = [tuple(x[max(0, i - 2) : i + 1]) for i in range(len(x))]
+        want.add((d, len(x), 0, sum(int(np.rint(np.log(count[g] / (count[g[:-1]] if g[:-1] else total)) * 1e6)) for g in grams)))
+    assert got == want
+
+
+def test_lm_scoring_trigrams_are_registered():
+    assert "op9_lm_scoring_trigrams" in QUERIES and "op9_lm_scoring_trigrams" in ORACLES
+
+
 def test_sharding(docs):
     out = sharding.shard_documents(docs).collect()
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in out) == Counter((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t, *_ in rows())
