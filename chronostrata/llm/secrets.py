@@ -6,8 +6,10 @@ a layer with the same content from the same places was seen before, so the list
 that contain themselves, and equal content is followed wherever it stands. A layer knows, for each of its characters, which stretch of the original text it came from;
 what is found in it is reported as that stretch.
 
-Compressed data are read in windows of WINDOW characters that overlap by OVERLAP, so memory stays
-bounded; reading stops at MOST_UNPACKED bytes for one document, a guard against bombs.
+Unpacked data of up to MOST_UNPACKED bytes are held as a layer. Longer data are a stream, read again for
+each use and never held: decompression, escapes and base64 runs of any length are carried on along it, and
+its text is taken in windows that end where no pattern can go on or, if there is no such place in WINDOW
+bytes, overlap by OVERLAP. All that is found in unpacked data is reported as the stretch that was packed.
 
 Defined results: a null text is empty and has no spans; the same span found in several layers counts
 once; a zero-length text, repeated rows and further columns need no special care.
@@ -18,12 +20,13 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
-from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +39,7 @@ from chronostrata.llm import workers
 from chronostrata.llm.lineage import ship
 
 KINDS = ("assign", "access", "hex")
-WINDOW, OVERLAP, MOST_UNPACKED = 1 << 20, 1 << 14, 1 << 28
+WINDOW, OVERLAP, MOST_UNPACKED = 1 << 20, 1 << 14, 1 << 22
 LEAST_VALUE = 6
 
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -46,8 +49,18 @@ HINTS = ("passw", "secret", "token", "apikey", "api_key")
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_FIXED = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+BREAKS = b" \t\r\n"
+PIECES = re.compile(rb"[A-Za-z0-9+/_-]+|[ \t\r\n]+")
+PLAIN_PIECES = re.compile(rb"[A-Za-z0-9+]+|[ \t\r\n]+")
+URL_BYTES = re.compile(rb"(?:%[0-9A-Fa-f]{2})+")
+URL_TAIL = re.compile(rb"%[0-9A-Fa-f]?\Z")
+UNICODE_BYTES = re.compile(UNICODE_FIXED.pattern.encode())
+UNICODE_TAIL = re.compile(rb"[\\&][^\\&]{0,12}\Z")
+#: After these no match of any pattern goes on: bytes that are in none, and lone spaces between words.
+SAFE = re.compile(rb"[^A-Za-z0-9+/_.=%\\&#;:{}\"'\r\n\t\x20-]|(?<=[A-Za-z0-9.,;])\x20(?=[A-Za-z0-9])")
 
 Span = tuple[str, int, int]
+Source = Callable[[], Iterator[bytes]]
 
 
 def scan(text: str) -> list[Span]:
@@ -63,12 +76,15 @@ def scan(text: str) -> list[Span]:
 
 
 class Layer:
-    """A text and, for its characters, where they begin and end in the original."""
+    """A text and, for its characters, where they begin and end in the original: arrays, or the one
+    stretch ``fixed`` for all. ``raw`` is the data that the text shows, if it is unpacked data."""
 
-    def __init__(self, text: str, starts: np.ndarray | None = None, ends: np.ndarray | None = None, depth: int = 0):
-        self.text, self.starts, self.ends, self.depth = text, starts, ends, depth
+    def __init__(self, text: str, starts: np.ndarray | None = None, ends: np.ndarray | None = None, depth: int = 0, fixed: tuple[int, int] | None = None, raw: bytes | None = None):
+        self.text, self.starts, self.ends, self.depth, self.fixed, self.raw = text, starts, ends, depth, fixed, raw
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
+        if self.fixed:
+            return self.fixed
         if self.starts is None:
             return start, end
         return int(self.starts[start]), int(self.ends[end - 1])
@@ -76,12 +92,18 @@ class Layer:
     def key(self) -> bytes:
         """A digest of the text and of where it came from."""
         h = hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16)
-        for x in (self.starts, self.ends):
-            h.update(b"" if x is None else x.astype(np.int64).tobytes())
+        for x in (self.starts, self.ends, self.fixed):
+            h.update(b"" if x is None else np.asarray(x, np.int64).tobytes())
         return h.digest()
 
     def replaced(self, parts: list[tuple[int, int, str]]) -> Layer:
         """This text with [start, end) given way to other texts, whose characters all come from there."""
+        if self.fixed:
+            at, text = 0, []
+            for a, b, new in parts:
+                text += [self.text[at:a], new]
+                at = b
+            return Layer("".join([*text, self.text[at:]]), depth=self.depth + 1, fixed=self.fixed)
         text, starts, ends, at = [], [], [], 0
         own_starts = np.arange(len(self.text)) if self.starts is None else self.starts
         own_ends = np.arange(1, len(self.text) + 1) if self.ends is None else self.ends
@@ -94,25 +116,64 @@ class Layer:
         text.append(self.text[at:])
         return Layer("".join(text), np.concatenate([*starts, own_starts[at:]]), np.concatenate([*ends, own_ends[at:]]), self.depth + 1)
 
-    def within(self, start: int, end: int, text: str) -> Layer:
-        """A layer of ``text`` that came from [start, end) as a whole."""
-        x, y = self.origin(start, end)
-        return Layer(text, np.full(len(text), x), np.full(len(text), y), self.depth + 1)
 
+class Flow:
+    """Unpacked data too long to be held, from one stretch of the original."""
 
-def streams(data: bytes) -> Iterator[bytes]:
+    def __init__(self, again: Source, fixed: tuple[int, int], depth: int):
+        self.again, self.fixed, self.depth = again, fixed, depth
+
+    def key(self) -> bytes:
+        h = hashlib.blake2b(np.asarray(self.fixed, np.int64).tobytes(), digest_size=16)
+        for chunk in self.again():
+            h.update(chunk)
+        return h.digest()
+
+
+def unpacked(again: Source, fixed: tuple[int, int], depth: int) -> Iterator[Layer | Flow]:
+    """One layer of the data that ``again`` reads, none if there are none."""
+    held, size = [], 0
+    for chunk in again():
+        held.append(chunk)
+        size += len(chunk)
+        if size > MOST_UNPACKED:
+            yield Flow(again, fixed, depth)
+            return
+    if size:
+        raw = b"".join(held)
+        yield Layer(raw.decode("latin-1"), depth=depth, fixed=fixed, raw=raw)
+
+
+class Reader:
+    def __init__(self, chunks: Iterator[bytes]):
+        self.chunks, self.rest = chunks, b""
+
+    def read(self, n: int) -> bytes:
+        while not self.rest and (chunk := next(self.chunks, None)) is not None:
+            self.rest = chunk
+        out, self.rest = self.rest[:n], self.rest[n:]
+        return out
+
+
+def streams(chunks: Iterator[bytes]) -> Iterator[bytes]:
     """Chunks of what compressed data hold; nothing for other data. Broken data give what comes before."""
-    if data[:2] == b"\x1f\x8b":
+    head = b""
+    for chunk in chunks:
+        head += chunk
+        if len(head) >= 6:
+            break
+    chunks = itertools.chain([head], chunks)
+    if head[:2] == b"\x1f\x8b":
         d = zlib.decompressobj(31)
-    elif len(data) > 2 and data[0] & 15 == 8 and data[0] >> 4 <= 7 and (data[0] << 8 | data[1]) % 31 == 0:
+    elif len(head) > 2 and head[0] & 15 == 8 and head[0] >> 4 <= 7 and (head[0] << 8 | head[1]) % 31 == 0:
         d = zlib.decompressobj(15)
-    elif data[:3] == b"BZh":
+    elif head[:3] == b"BZh":
         d = bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\0":
+    elif head[:6] == b"\xfd7zXZ\0":
         d = lzma.LZMADecompressor(lzma.FORMAT_XZ, memlimit=1 << 27)
-    elif data[:4] == b"\x28\xb5\x2f\xfd":
+    elif head[:4] == b"\x28\xb5\x2f\xfd":
         try:
-            with zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(data) as r:
+            with zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(Reader(chunks)) as r:
                 while chunk := r.read(1 << 16):
                     yield chunk
         except zstandard.ZstdError:
@@ -121,22 +182,134 @@ def streams(data: bytes) -> Iterator[bytes]:
     else:
         return
     try:
-        if hasattr(d, "needs_input"):
-            chunk = d.decompress(data, 1 << 16)
-            while chunk or not (d.eof or d.needs_input):
-                yield chunk
+        for data in chunks:
+            out = d.decompress(data, 1 << 16)
+            while out or not (d.eof or getattr(d, "needs_input", True)):
+                if out:
+                    yield out
                 if d.eof:
                     break
-                chunk = d.decompress(b"", 1 << 16)
-        else:
-            chunk, rest = d.decompress(data, 1 << 16), d.unconsumed_tail
-            while chunk:
-                yield chunk
-                chunk, rest = d.decompress(rest, 1 << 16), d.unconsumed_tail
+                out = d.decompress(getattr(d, "unconsumed_tail", b""), 1 << 16)
+            if d.eof:
+                return
     except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
         pass
 
 
+def part(chunks: Iterator[bytes], start: int, end: int) -> Iterator[bytes]:
+    at = 0
+    for chunk in chunks:
+        if at + len(chunk) > start:
+            yield chunk[max(0, start - at) : end - at]
+        at += len(chunk)
+        if at >= end:
+            return
+
+
+def unsplit(chunks: Iterator[bytes], tail: re.Pattern) -> Iterator[bytes]:
+    """The same data in chunks that do not end in what ``tail`` matches."""
+    held = b""
+    for chunk in chunks:
+        held += chunk
+        m = tail.search(held, max(0, len(held) - 16))
+        cut = m.start() if m else len(held)
+        yield held[:cut]
+        held = held[cut:]
+    yield held
+
+
+def without_url(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    for chunk in unsplit(chunks, URL_TAIL):
+        yield URL_BYTES.sub(lambda m: bytes.fromhex(m[0].replace(b"%", b"").decode()), chunk)
+
+
+def without_unicode(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    def character(m: re.Match) -> bytes:
+        code = int(m[5]) if m[5] else int(m[1] or m[2] or m[3] or m[4] or m[6], 16)
+        return chr(code if code < 0x110000 else 0xFFFD).encode("utf-8", "replace")
+
+    for chunk in unsplit(chunks, UNICODE_TAIL):
+        yield UNICODE_BYTES.sub(character, chunk)
+
+
+def without_base64(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    held = b""
+    for chunk in chunks:
+        held += chunk.translate(bytes.maketrans(b"-_", b"+/"), BREAKS)
+        cut = len(held) // 4 * 4
+        yield binascii.a2b_base64(held[:cut])
+        held = held[cut:]
+    if len(held) > 1:
+        yield binascii.a2b_base64(held + b"=" * (4 - len(held)))
+
+
+def pieces(chunks: Iterator[bytes], pattern: re.Pattern) -> Iterator[tuple[int, int, bytes]]:
+    """Start, end and last byte of the pattern's matches, which go on from chunk to chunk if of one sort."""
+    held, at = None, 0
+    for chunk in chunks:
+        for m in pattern.finditer(chunk):
+            i, j, last = at + m.start(), at + m.end(), chunk[m.end() - 1 : m.end()]
+            if held and held[1] == i and (held[2] in BREAKS) == (last in BREAKS):
+                held = (held[0], j, last)
+            else:
+                if held:
+                    yield held
+                held = (i, j, last)
+        at += len(chunk)
+    if held:
+        yield held
+
+
+def long_runs(chunks: Iterator[bytes], pattern: re.Pattern) -> Iterator[tuple[int, int]]:
+    """Stretches of more than OVERLAP bytes: words, or lines of one width with a shorter one after them,
+    with and without that one."""
+    start = end = before = width = 0
+    open_, gap = False, None
+    for i, j, last in itertools.chain(pieces(chunks, pattern), [(-1, -1, b"x")]):
+        if last in BREAKS:
+            gap = (i, j)
+            continue
+        if open_ and gap and gap[0] == end and gap[1] == i and j - i <= width:
+            before, end, open_ = end, j, j - i == width
+            continue
+        for stop in sorted({end, before if end > start and not open_ else end}):
+            if stop - start > OVERLAP:
+                yield start, stop
+        start, end, before, width, open_ = i, j, j, j - i, True
+    return
+
+
+def windows(chunks: Iterator[bytes]) -> Iterator[tuple[bytes, bool]]:
+    """The data in windows, and whether each ends where no pattern goes on."""
+    held = b""
+    for chunk in chunks:
+        held += chunk
+        if len(held) < WINDOW:
+            continue
+        cut = 0
+        for back in (1 << 12, 1 << 16, len(held)):
+            for m in SAFE.finditer(held, max(1, len(held) - back)):
+                cut = m.end()
+            if cut:
+                break
+        yield held[: cut or len(held)], cut > 0
+        held = held[cut or -OVERLAP :]
+    if held:
+        yield held, True
+
+
+def readable_flow(chunks: Iterator[bytes]) -> bool:
+    decode, odd, size = codecs.getincrementaldecoder("utf-8")(), 0, 0
+    try:
+        for chunk in itertools.chain(chunks, [None]):
+            text = decode.decode(chunk or b"", chunk is None)
+            size += len(text)
+            odd += sum(not (c.isprintable() or c in "\t\n\r") for c in text)
+    except UnicodeDecodeError:
+        return False
+    return size > 0 and odd * 20 <= size
+
+
 def readable(data: bytes) -> str | None:
     """Text of well-formed UTF-8 that is nearly all printable."""
     try:
@@ -148,27 +321,42 @@ def readable(data: bytes) -> str | None:
 
 
 class Unwrapper:
-    def __init__(self):
-        self.unpacked = 0
-
-    def packed(self, layer: Layer, a: int, b: int, data: bytes) -> Iterator[Layer]:
-        """Layers of compressed data that came from [a, b)."""
-        held = ""
-        for chunk in streams(data):
-            self.unpacked += len(chunk)
-            if self.unpacked > MOST_UNPACKED:
-                break
-            held += chunk.decode("latin-1")
-            if len(held) >= WINDOW:
-                yield from self.window(layer, a, b, held)
-                held = held[-OVERLAP:]
-        if held:
-            yield from self.window(layer, a, b, held)
-
-    def window(self, layer: Layer, a: int, b: int, held: str) -> Iterator[Layer]:
-        raw = held.encode("latin-1")
-        yield layer.within(a, b, raw.decode("utf-8", "replace"))
-        yield from self.packed(layer.within(a, b, held), 0, len(held), raw)
+    def packed(self, layer: Layer, a: int, b: int, data: bytes) -> Iterator[Layer | Flow]:
+        """The layer of compressed data that came from [a, b)."""
+        if data:
+            yield from unpacked(lambda: streams(iter([data])), layer.origin(a, b), layer.depth + 1)
+
+    def flow(self, flow: Flow) -> Iterator[Layer | Flow]:
+        fixed, depth, again = flow.fixed, flow.depth + 1, flow.again
+        yield from unpacked(lambda: streams(again()), fixed, depth)
+        torn = False
+        for window, whole in windows(again()):
+            torn |= not whole
+            yield Layer(window.decode("latin-1"), depth=depth, fixed=fixed)
+        if not torn:
+            return
+        yield from unpacked(lambda: without_url(again()), fixed, depth)
+        yield from unpacked(lambda: without_unicode(again()), fixed, depth)
+        for i, j, _ in pieces(unsplit(again(), URL_TAIL), URL_BYTES):
+            if j - i > OVERLAP:
+                yield from unpacked(lambda i=i, j=j: streams(without_url(part(again(), i, j))), fixed, depth)
+        for i, j in long_runs(again(), PIECES):
+            found = False
+            for x in self.long_run(lambda i=i, j=j: part(again(), i, j), fixed, depth):
+                found = True
+                yield x
+            if not found:
+                for k, m in long_runs(part(again(), i, j), PLAIN_PIECES):
+                    yield from self.long_run(lambda i=i + k, j=i + m: part(again(), i, j), fixed, depth)
+
+    @staticmethod
+    def long_run(run: Source, fixed: tuple[int, int], depth: int) -> Iterator[Layer | Flow]:
+        found = False
+        for x in unpacked(lambda: streams(without_base64(run())), fixed, depth):
+            found = True
+            yield x
+        if not found and readable_flow(without_base64(run())):
+            yield from unpacked(lambda: without_base64(run()), fixed, depth)
 
     def url(self, layer: Layer) -> Iterator[Layer]:
         if "%" not in layer.text:
@@ -231,6 +419,9 @@ class Unwrapper:
             yield x
         if not found and (text := readable(data)) is not None:
             found = True
+            if layer.fixed:
+                yield Layer(text, depth=layer.depth + 1, fixed=layer.fixed)
+                return
             size = np.array([len(c.encode("utf-8")) for c in text])
             first = np.cumsum(size) - size
             begin = [layer.origin(at + min(int(p) * 4 // 3, len(run) - 1), at + min(int(p) * 4 // 3, len(run) - 1) + 1)[0] for p in first]
@@ -241,7 +432,12 @@ class Unwrapper:
                 if part[0] != run:
                     yield from self.run(layer, at + part.start(), part[0], False)
 
-    def layers(self, layer: Layer) -> Iterator[Layer]:
+    def layers(self, layer: Layer | Flow) -> Iterator[Layer | Flow]:
+        if isinstance(layer, Flow):
+            yield from self.flow(layer)
+            return
+        if layer.raw:
+            yield from self.packed(layer, 0, len(layer.text), layer.raw)
         yield from self.url(layer)
         yield from self.unicode(layer)
         yield from self.base64(layer)
@@ -254,17 +450,18 @@ def ordered(spans: set[Span] | list[Span]) -> list[Span]:
 def find(text: str) -> tuple[list[Span], list[Span]]:
     """Spans of the text itself, and these with the spans of all layers below it."""
     base = scan(text)
-    found, unwrap = set(base), Unwrapper()
-    todo = deque([Layer(text)])
-    seen = {todo[0].key()}
+    found, unwrap, seen = set(base), Unwrapper(), set()
+    todo = [iter([Layer(text)])]
     while todo:
-        layer = todo.popleft()
-        if layer.depth:
+        if (layer := next(todo[-1], None)) is None:
+            todo.pop()
+            continue
+        if (key := layer.key()) in seen:
+            continue
+        seen.add(key)
+        if layer.depth and isinstance(layer, Layer):
             found |= {(kind, *layer.origin(a, b)) for kind, a, b in scan(layer.text)}
-        for x in unwrap.layers(layer):
-            if x.text and (d := x.key()) not in seen:
-                seen.add(d)
-                todo.append(x)
+        todo.append(unwrap.layers(layer))
     return ordered(base), ordered(found)
 
 

@@ -81,6 +81,28 @@ def test_bomb_is_bounded(monkeypatch):
     assert x.find(b64(zlib.compress(b" " * (1 << 24))))[0] == []
 
 
+def noise(n):
+    return b"".join(hashlib.sha512(str(i).encode()).digest() for i in range(n // 64 + 1))[:n]
+
+
+LONG = b64(noise(400_000))
+FAR = {
+    "compressed in compressed": gzip.compress(zlib.compress((LONG + " " + S).encode())),
+    "base64 over windows": gzip.compress(b64("a line of text. " * 25_000 + S).encode()),
+    "compressed in base64 over windows": gzip.compress(b"a, " + b64(bz2.compress((LONG + " " + S).encode())).encode()),
+    "escaped base64": gzip.compress(urllib.parse.quote(b64(b"??>" * 100_000 + S.encode()), safe="").encode()),
+    "compressed as escapes": gzip.compress("".join(f"%{c:02x}" for c in zlib.compress((LONG[:200_000] + " " + S).encode())).encode()),
+}
+
+
+@pytest.mark.parametrize("name", FAR)
+def test_unpacked_data_over_windows_are_read_to_the_end(name, monkeypatch):
+    for limit, size in {"WINDOW": 1 << 16, "OVERLAP": 1 << 12, "MOST_UNPACKED": 1 << 18}.items():
+        monkeypatch.setattr(x, limit, size)
+    text = f"before {b64(FAR[name])} after"
+    assert ("assign", 7, 7 + len(b64(FAR[name]))) in x.find(text)[1]
+
+
 def test_query_digest(spark):
     rows = [(1, f"a {S} b {b64('token: abcdef99')}"), (2, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
