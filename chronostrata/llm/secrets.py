@@ -1,7 +1,7 @@
 """Secret scans with a recursive decoding worklist.
 
 The text itself is the first layer. Every layer is scanned and unwrapped: URL escapes, Unicode escapes
-and references, base64 runs, and compressed data inside either. Each new layer joins the worklist unless
+and references, base64 runs (also over several lines), and compressed data inside either. Each new layer joins the worklist unless
 a layer with the same content from the same places was seen before, so the list runs dry even on data
 that contain themselves, and equal content is followed wherever it stands. A layer knows, for each of its characters, which stretch of the original text it came from;
 what is found in it is reported as that stretch.
@@ -49,6 +49,8 @@ HINTS = ("passw", "secret", "token", "apikey", "api_key")
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_FIXED = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+[ \t]*+\r?\n[ \t]*+)+[A-Za-z0-9+/_-]++={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 BREAKS = b" \t\r\n"
 PIECES = re.compile(rb"[A-Za-z0-9+/_-]+|[ \t\r\n]+")
 PLAIN_PIECES = re.compile(rb"[A-Za-z0-9+]+|[ \t\r\n]+")
@@ -402,9 +404,26 @@ class Unwrapper:
 
     def base64(self, layer: Layer) -> Iterator[Layer]:
         for m in BASE64.finditer(layer.text):
-            yield from self.run(layer, m.start(), m[0])
+            yield from self.run(layer, np.arange(*m.span()), m[0])
+        for m in WRAPPED.finditer(layer.text):
+            lines = [x.span() for x in LINE.finditer(layer.text, *m.span())]
+            for i, j in self.wrapped([b - a for a, b in lines]):
+                at = np.concatenate([np.arange(a, b) for a, b in lines[i:j]])
+                yield from self.run(layer, at, "".join(layer.text[a:b] for a, b in lines[i:j]), False)
 
-    def run(self, layer: Layer, at: int, run: str, whole: bool = True) -> Iterator[Layer]:
+    @staticmethod
+    def wrapped(widths: list[int]) -> list[tuple[int, int]]:
+        """Lines to be joined: those of one width with a shorter one after them, and all, each with and
+        without the last."""
+        found, i = {(0, len(widths)), (0, len(widths) - 1)}, 0
+        for j in range(1, len(widths) + 1):
+            if j == len(widths) or widths[j] > widths[i] or widths[j - 1] < widths[i]:
+                found |= {(i, j), (i, j - 1)}
+                i = j
+        return sorted((i, j) for i, j in found if j - i > 1)
+
+    def run(self, layer: Layer, at: np.ndarray, run: str, whole: bool = True) -> Iterator[Layer | Flow]:
+        """Layers of the base64 ``run``, whose characters stand at ``at``."""
         body = run.rstrip("=")
         body = body[: len(body) - (len(body) % 4 == 1)]
         if body.islower() and body.isalpha():
@@ -414,7 +433,7 @@ class Unwrapper:
         except (binascii.Error, ValueError):
             data = b""
         found = False
-        for x in self.packed(layer, at, at + len(run), data):
+        for x in self.packed(layer, int(at[0]), int(at[-1]) + 1, data):
             found = True
             yield x
         if not found and (text := readable(data)) is not None:
@@ -424,13 +443,14 @@ class Unwrapper:
                 return
             size = np.array([len(c.encode("utf-8")) for c in text])
             first = np.cumsum(size) - size
-            begin = [layer.origin(at + min(int(p) * 4 // 3, len(run) - 1), at + min(int(p) * 4 // 3, len(run) - 1) + 1)[0] for p in first]
-            end = [layer.origin(at + min(-(-int(p) * 4 // 3), len(run)) - 1, at + min(-(-int(p) * 4 // 3), len(run)))[1] for p in first + size]
-            yield Layer(text, np.array(begin), np.array(end), layer.depth + 1)
+            a = at[np.minimum(first * 4 // 3, len(run) - 1)]
+            b = at[np.minimum(-(-(first + size) * 4 // 3), len(run)) - 1]
+            begin, end = (a, b + 1) if layer.starts is None else (layer.starts[a], layer.ends[b])
+            yield Layer(text, begin, end, layer.depth + 1)
         if not found and whole:
             for part in re.finditer(r"[A-Za-z0-9+]{16,}={0,2}", run):
                 if part[0] != run:
-                    yield from self.run(layer, at + part.start(), part[0], False)
+                    yield from self.run(layer, at[part.start() : part.end()], part[0], False)
 
     def layers(self, layer: Layer | Flow) -> Iterator[Layer | Flow]:
         if isinstance(layer, Flow):

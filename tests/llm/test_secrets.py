@@ -81,6 +81,28 @@ def test_bomb_is_bounded(monkeypatch):
     assert x.find(b64(zlib.compress(b" " * (1 << 24))))[0] == []
 
 
+def lines(s, width, stop="\n"):
+    return stop.join(s[i : i + width] for i in range(0, len(s), width))
+
+
+@pytest.mark.parametrize("width, stop", [(76, "\n"), (64, "\r\n"), (64, "\n    ")])
+@pytest.mark.parametrize("after", ["", " after", "\nafter", "\n-----END-----"])
+def test_wrapped_base64_is_joined(width, stop, after):
+    plain = "a line of clear text before it and some more words"
+    for code in (b64(plain + " " * 4 + S + " and more"), b64(gzip.compress(noise(200).hex().encode()[:203] + b" " + S.encode())), b64(bz2.compress((plain + S).encode()))):
+        text = f"é before\n-----BEGIN CERTIFICATE-----\n{lines(code, width, stop)}{after}"
+        base, found = x.find(text)
+        assert base == [] and any(k == "assign" for k, _, _ in found)
+        k, a, b = max(s for s in found if s[0] == "assign")
+        assert text.index("\n", 9) < a < b <= len(text) - len(after)
+
+
+def test_wrapped_base64_keeps_places():
+    code = b64("x" * 50 + " " + S + " and so on")
+    text = f"{lines(code, 76)}\n"
+    assert x.find(text) == ([], [("assign", 68, 99)])  # 4 characters for 3 of the 51st to 73rd, and the line break
+
+
 def noise(n):
     return b"".join(hashlib.sha512(str(i).encode()).digest() for i in range(n // 64 + 1))[:n]
 
