@@ -125,6 +125,13 @@ def test_unpacked_data_over_windows_are_read_to_the_end(name, monkeypatch):
     assert ("assign", 7, 7 + len(b64(FAR[name]))) in x.find(text)[1]
 
 
+def test_secrets_behind_a_bomb_are_found(monkeypatch):
+    monkeypatch.setattr(x, "MOST_UNPACKED", 1 << 20)
+    bomb = b64(zlib.compress(b" " * (1 << 22) + S.encode()))
+    text = f"{bomb} {LAYERS['gzip']}"
+    assert x.find(text)[1] == [("assign", 0, len(bomb)), ("assign", len(bomb) + 1, len(text))]
+
+
 def test_query_digest(spark):
     rows = [(1, f"a {S} b {b64('token: abcdef99')}"), (2, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
