@@ -132,6 +132,21 @@ def test_secrets_behind_a_bomb_are_found(monkeypatch):
     assert x.find(text)[1] == [("assign", 0, len(bomb)), ("assign", len(bomb) + 1, len(text))]
 
 
+def test_deep_nesting_does_not_recurse():
+    data = S.encode()
+    for _ in range(1500):
+        data = zlib.compress(data, 0)
+    assert x.find(b64(data))[1] == [("assign", 0, len(b64(data).rstrip("=")) + b64(data).count("="))]
+
+
+@pytest.mark.parametrize("held", [1 << 22, 16])
+def test_data_that_contain_themselves_end(held, monkeypatch):
+    own = gzip.compress(S.encode())
+    monkeypatch.setattr(x, "MOST_UNPACKED", held)
+    monkeypatch.setattr(x, "streams", lambda chunks: (c for c in ([own] if b"".join(chunks)[:2] == own[:2] else [])))
+    assert x.find(b64(own)) == ([], [])
+
+
 def test_query_digest(spark):
     rows = [(1, f"a {S} b {b64('token: abcdef99')}"), (2, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
