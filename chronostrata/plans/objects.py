@@ -45,6 +45,17 @@ def t3(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", ((F.col("c_custkey") + 1500 - 7) % 150).alias("turn"))
 
 
+@query("t2_read_priority_counted", "with s as (select user_id, count(*) as c, user_id % 2 as has_window from events group by user_id), n as (select count(*) as n from s) select user_id, c as occupancy from s cross join n order by has_window, c, ((user_id - 17) % n + n) % n limit 4")
+def t2_counted(spark, sf_dir):
+    s = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("occupancy")).withColumns({"has_window": F.col("user_id") % 2, "pos": F.col("user_id")})
+    return store.counted_read_order(s, 17, 4).select("user_id", "occupancy")
+
+
+@query("t3_fair_pass_counted", "with n as (select count(*) as n from customer) select c_custkey, cast(((c_custkey - 7) % n + n) % n as bigint) as turn from customer cross join n order by turn")
+def t3_counted(spark, sf_dir):
+    return store.fair_pass(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").alias("pos")), 7).select("c_custkey", "turn")
+
+
 @query("t4_sorted_listing", "select c_name, cast(row_number() over (partition by c_nationkey order by c_name) as integer) as place from customer")
 def t4(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_name", F.row_number().over(W.partitionBy("c_nationkey").orderBy("c_name")).alias("place"))
