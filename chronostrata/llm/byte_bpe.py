@@ -2,13 +2,14 @@
 
 Encoding: a text is split by the tokenizer's pattern, and every piece runs through a finite-state
 transducer over its bytes. After each prefix of a piece the last token of the prefix's encoding is
-unique: of the vocabulary entries that end there, the one whose predecessor (the last token where it
-starts) may stand before it. Two tokens may stand side by side when merging their joined bytes gives
-the two again; a sequence is an encoding when all neighbours may. A state is the set of entries that
-may still grow (trie node, token before it); a transition names the token that ends at its byte. The
-tokens on the way back from every entry that may still grow are certain and are emitted: output lags
-behind by the longest vocabulary entry and what hangs on it. States and transitions are made when a
-text first needs them and kept in a bounded table.
+unique: of the vocabulary entries that end there, the one that may stand behind the token before it. Two
+tokens may stand side by side when merging their joined bytes gives the two again; a sequence is an
+encoding when all neighbours may. A state holds the trie nodes of the entries that may still grow, each
+with the entries below it that are forbidden there by the token before: tokens that forbid the same are
+one state, so a few thousand states serve all words. A transition names the token that ends at its byte.
+The tokens on the way back from every entry that may still grow are certain and are emitted: output lags
+behind by the longest vocabulary entry and what hangs on it. States and transitions are made when a text
+first needs them, kept in bounded arrays, and applied to all new pieces of a batch side by side.
 
 Decoding: token bytes are joined in order and an incremental UTF-8 machine holds back the unfinished
 character at the end of each chunk.
@@ -20,9 +21,9 @@ named like the output is replaced; other columns stay.
 
 from __future__ import annotations
 
-import array
 import base64
 import functools
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -40,12 +41,10 @@ from chronostrata.llm.lineage import ship
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bounds on the tables that a worker keeps: states of the transducer, chunks of text with their ids (twice
 #: so many: the last full table is kept beside the one being filled).
-MAX_STATES, MAX_PIECES = 80_000, 80_000
+MAX_STATES, MAX_PIECES = 32_000, 80_000
 ROWS = 256
-#: Nodes with at most so many entries below are looked into before a state keeps them.
-FEW = 3
-#: The first bytes of a piece are looked up in one step.
-HEAD = 6
+#: Pieces of at most so many bytes run side by side, in groups of so many bytes; longer ones run alone.
+SIDE_BY_SIDE, GROUP = 256, 1 << 17
 #: Bytes of a piece that wait at most before what is certain is emitted.
 HOLD = 4096
 NEVER = 1 << 62
@@ -58,47 +57,61 @@ def ranks_of(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    """A lazily determinised transducer from the bytes of a piece to its tokens."""
+    """A lazily determinised transducer from the bytes of a piece to its tokens.
+
+    Entries that merge to themselves stand in the order of their bytes, so those below a trie node are one
+    range. What may stand behind a token is a set of entries; a state knows, for every node that may still
+    grow, which of the entries below it are forbidden there, and nothing else of the token before it.
+    """
 
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
         self.ranks, self.max_states = ranks, max_states
         self.spelled = {v: k for k, v in ranks.items()}
-        self.child: dict[int, int] = {}  # node << 8 | byte -> node
-        self.token_at: dict[int, int] = {}  # node -> token
-        self.length = {v: len(k) for k, v in ranks.items()}
-        self.depth = [0]
-        nodes = 1
+        self.length = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, rank in ranks.items():
+            self.length[rank] = len(token)
+        self.halves: dict[bytes, tuple[bytes, bytes]] = {}
+        self.entries: list[int] = []
+        for token in sorted(ranks):
+            parts = self.merged(token, 2)
+            if len(parts) == 2:
+                self.halves[token] = parts[0], parts[1]
+            if len(parts) <= 2:
+                self.entries.append(ranks[token])
+        self.child: dict[int, int] = {}  # node << 8 | byte -> node
+        self.token_at: dict[int, int] = {}  # node -> place of its entry
+        self.depth, self.low, self.high = [0], [0], [0]
+        for place, rank in enumerate(self.entries):
             at = 0
-            for b in token:
-                key = at << 8 | b
-                if (to := self.child.get(key)) is None:
-                    to = self.child[key] = nodes
+            for b in self.spelled[rank]:
+                self.high[at] = place + 1
+                if (to := self.child.get(at << 8 | b)) is None:
+                    to = self.child[at << 8 | b] = len(self.depth)
                     self.depth.append(self.depth[at] + 1)
-                    nodes += 1
+                    self.low.append(place)
+                    self.high.append(place)
                 at = to
-            self.token_at[at] = rank
-        #: Tokens strictly below a node, where there are at most FEW of them.
-        self.below: dict[int, list[int] | None] = {}
-        for key in reversed(self.child):  # children come after their parents
-            node, to = key >> 8, self.child[key]
-            own = [self.token_at[to]] if to in self.token_at else []
-            under, known = self.below.get(to, []), self.below.get(node, [])
-            self.below[node] = None if under is None or known is None or len(under) + len(known) + len(own) > FEW else known + own + under
-        parents = set(self.below)
-        self.leaves = {n for n in self.token_at if n not in parents}
-        self.below = {k: v for k, v in self.below.items() if v is not None}
-        self.grows: dict[tuple[int, int], bool] = {}
-        self.whole: dict[int, bool] = {}
-        self.edges: dict[tuple[int, int], list[tuple[bytes, int]]] = {}
-        self.beside: dict[tuple[int, int], bool] = {}
+            self.high[at], self.token_at[at] = place + 1, place
+        #: The merges that take a part in as their left half, and the entries that have a part at their left end.
+        self.pairs: dict[bytes, list[tuple[int, bytes]]] = {}
+        for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
+            for k in range(1, len(token)):
+                if token[:k] in ranks and token[k:] in ranks:
+                    self.pairs.setdefault(token[:k], []).append((rank, token[k:]))
+        begins: dict[bytes, list[tuple[int, int]]] = {}
+        for place, rank in enumerate(self.entries):
+            for part, taken in self.edge(rank, 0):
+                begins.setdefault(part, []).append((-taken, place))
+        self.begins = {part: np.array(sorted(own), np.int64).T for part, own in begins.items()}
         self.reset()
 
     def reset(self) -> None:
-        start = ((0, -1),)
-        self.states, self.numbers = [start], {start: 0}
-        self.steps: dict[int, tuple[int, int]] = {}
-        self.heads: dict[bytes, tuple[int, list[int]]] = {}
+        none = np.zeros(0, np.int32)
+        self.sets, self.set_numbers, self.behind = [none], {b"": 0}, {}
+        self.states: list[tuple[tuple[int, int], ...]] = []
+        self.numbers: dict[tuple[tuple[int, int], ...], int] = {}
+        self.next = self.token = np.zeros(0, np.int32)
+        self.state_of(((0, 0),))
 
     def merged(self, data: bytes, stop: int = 1) -> list[bytes]:
         """Parts by the definition: join the neighbours of lowest rank, leftmost first, down to ``stop`` parts or while any has one."""
@@ -111,76 +124,91 @@ class Transducer:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def merges_to_itself(self, token: int) -> bool:
-        if (known := self.whole.get(token)) is None:
-            known = self.whole[token] = len(self.merged(self.spelled[token])) == 1
-        return known
-
     def edge(self, token: int, side: int) -> list[tuple[bytes, int]]:
-        """The parts that stand at the right (side 1) or left (0) end of a token while it is merged, each with the rank of the merge that takes it in."""
-        if (known := self.edges.get((token, side))) is None:
-            part, taken = self.spelled[token], NEVER
-            known = [(part, taken)]
-            while len(part) > 1:
-                taken = self.ranks[part]
-                part = self.merged(part, 2)[-side]
-                known.append((part, taken))
-            self.edges[token, side] = known
+        """The parts that stand at the right (side 1) or left (0) end of an entry while it is merged, each with the rank of the merge that takes it in."""
+        part = self.spelled[token]
+        known = [(part, NEVER)]
+        while part in self.halves:
+            taken = self.ranks[part]
+            part = self.halves[part][side]
+            known.append((part, taken))
         return known
 
     def may_follow(self, a: int, b: int) -> bool:
         """Whether a and b stay as they are side by side: no part at the right end of a merges with one
         at the left end of b before either is taken into its own token (a tie goes to the left)."""
-        if (known := self.beside.get((a, b))) is None:
-            if len(self.beside) > 2 * self.max_states:
-                self.beside.clear()
-            get, known = self.ranks.get, True
-            for x, x_taken in self.edge(a, 1):
-                for y, y_taken in self.edge(b, 0):
-                    if (r := get(x + y)) is not None and r < x_taken and r <= y_taken:
-                        known = False
-                        break
-                if not known:
-                    break
-            self.beside[a, b] = known
+        return b in self.entries and self.entries.index(b) not in self.sets[self.forbidden(a)]
+
+    def set_of(self, places: np.ndarray) -> int:
+        key = places.tobytes()
+        if (known := self.set_numbers.get(key)) is None:
+            known = self.set_numbers[key] = len(self.sets)
+            self.sets.append(places)
         return known
 
-    def may_grow(self, node: int, last: int) -> bool:
-        """False where no longer entry than ``node`` may stand behind ``last`` (rich nodes: not looked into)."""
-        if (known := self.grows.get((node, last))) is None:
-            if len(self.grows) > 4 * self.max_states:
-                self.grows.clear()
-            under = self.below.get(node, [] if node in self.leaves else None)
-            known = self.grows[node, last] = under is None or any(self.merges_to_itself(t) and (last < 0 or self.may_follow(last, t)) for t in under)
+    def forbidden(self, token: int) -> int:
+        """The set of the entries that may not stand behind ``token``."""
+        if (known := self.behind.get(token)) is None:
+            merges: dict[bytes, int] = {}
+            for part, taken in self.edge(token, 1):
+                for rank, other in self.pairs.get(part, ()):  # lowest ranks first
+                    if rank >= taken:
+                        break
+                    if rank < merges.get(other, NEVER):
+                        merges[other] = rank
+            found = [np.zeros(0, np.int64)]
+            for other, rank in merges.items():
+                if (own := self.begins.get(other)) is not None:
+                    found.append(own[1][: own[0].searchsorted(-rank, "right")])
+            places = np.sort(np.concatenate(found)).astype(np.int32)
+            known = self.behind[token] = self.set_of(places[np.diff(places, prepend=-1) > 0])
         return known
 
-    def step(self, state: int, byte: int) -> tuple[int, int]:
-        """The transition of a state by a byte: the next state, and the token that ends here."""
+    def state_of(self, alive: tuple[tuple[int, int], ...]) -> int:
+        if (number := self.numbers.get(alive)) is None:
+            number = self.numbers[alive] = len(self.states)
+            self.states.append(alive)
+            if len(self.next) < len(self.states) << 8:
+                more = np.full(max(1 << 16, len(self.next)), -1, np.int32)
+                self.next, self.token = np.concatenate([self.next, more]), np.concatenate([self.token, more])
+        return number
+
+    def step(self, state: int, byte: int) -> int:
+        """The transition of a state by a byte: the next state; the token that ends here is kept beside it."""
         alive, here = [], None
-        for node, last in self.states[state]:
+        for node, own in self.states[state]:
             to = self.child.get(node << 8 | byte)
             if to is None:
                 continue
-            if here is None and (token := self.token_at.get(to)) is not None and self.merges_to_itself(token) and (last < 0 or self.may_follow(last, token)):
-                here = token
-            if self.may_grow(to, last):
-                alive.append((to, last))
+            place, first, last, not_here = self.token_at.get(to), self.low[to], self.high[to], self.sets[own]
+            if own:
+                i, j = not_here.searchsorted((first, last)).tolist()
+                not_here = not_here[i:j]
+            if place is not None:
+                first += 1
+                if len(not_here) and not_here[0] == place:
+                    not_here = not_here[1:]
+                elif here is None:
+                    here = self.entries[place]
+            if len(not_here) < last - first:
+                alive.append((to, self.set_of(not_here) if own else 0))
         if here is None:
             raise ValueError(f"no token of the vocabulary ends with byte {byte}")
-        alive.append((0, here))
-        key = tuple(alive)
-        number = self.numbers.get(key)
-        if number is None:
-            number = self.numbers[key] = len(self.states)
-            self.states.append(key)
-        self.steps[state << 8 | byte] = out = (number, here)
-        return out
+        alive.append((0, self.forbidden(here)))
+        number = self.state_of(tuple(alive))
+        self.next[state << 8 | byte], self.token[state << 8 | byte] = number, here
+        return number
+
+    def bounded(self) -> None:
+        """Start the tables again once they are full; called between pieces."""
+        if len(self.states) > self.max_states or len(self.sets) > self.max_states:
+            self.reset()
 
     def way_back(self, ends: list[int], at: int) -> list[int]:
         """Positions at which tokens end, from ``at`` back to the start of ``ends``."""
-        way = [at]
+        way, length = [at], self.length
         while at > 0:
-            at -= self.length[ends[at - 1]]
+            at -= int(length[ends[at - 1]])
             way.append(at)
         return way
 
@@ -192,24 +220,21 @@ class Transducer:
         return max(common)
 
     def encode(self, piece: bytes) -> list[int]:
-        """The tokens of one piece of the split text."""
+        """The tokens of one piece, however long: what is certain is emitted on the way."""
         if (rank := self.ranks.get(piece)) is not None:
             return [rank]
-        if len(self.states) > self.max_states:
-            self.reset()
-        steps, head, out = self.steps, piece[:HEAD], []
-        if (known := self.heads.get(head)) is not None:
-            state, ends = known[0], known[1].copy()
-        else:
-            state, ends = 0, []
-            for byte in head:
-                state, token = steps.get(state << 8 | byte) or self.step(state, byte)
-                ends.append(token)
-            self.heads[head] = state, ends.copy()
-        hold = HOLD
-        for byte in piece[HEAD:]:
-            state, token = steps.get(state << 8 | byte) or self.step(state, byte)
-            ends.append(token)
+        self.bounded()
+        state, ends, out, hold = 0, [], [], HOLD
+        for byte in piece:
+            to = int(self.next[state << 8 | byte])
+            if to < 0:
+                if len(self.states) > self.max_states or len(self.sets) > self.max_states:
+                    alive = [(node, self.sets[own]) for node, own in self.states[state]]
+                    self.reset()
+                    state = self.state_of(tuple((node, self.set_of(own)) for node, own in alive))
+                to = self.step(state, byte)
+            ends.append(int(self.token[state << 8 | byte]))
+            state = to
             if len(ends) >= hold:
                 # Where nothing is certain yet, as in long runs of one letter, the next look is at twice the length.
                 hold = HOLD if (done := self.certain(state, ends)) else 2 * hold
@@ -217,6 +242,51 @@ class Transducer:
                 del ends[:done]
         return out + [ends[i - 1] for i in self.way_back(ends, len(ends))[-2::-1]]
 
+    def encode_all(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all pieces in one array, and how many each piece has.
+
+        The pieces run through the transitions side by side, a byte of each at a time; only transitions
+        that are not known yet are made one by one.
+        """
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        start = np.cumsum(size) - size
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        ends, kept = np.zeros(len(data), np.int32), np.zeros(len(data), bool)
+        whole = np.fromiter((self.ranks.get(p, -1) for p in pieces), np.int64, len(pieces))
+        last = (start + size - 1)[whole >= 0]
+        ends[last], kept[last] = whole[whole >= 0], True
+        for k in np.flatnonzero((whole < 0) & (size > SIDE_BY_SIDE)).tolist():
+            ids = np.array(self.encode(pieces[k]), np.int64)
+            at = start[k] + np.cumsum(self.length[ids]) - 1
+            ends[at], kept[at] = ids, True
+        run = np.flatnonzero((whole < 0) & (size <= SIDE_BY_SIDE) & (size > 0))
+        run = run[np.argsort(-size[run], kind="stable")]
+        for own in np.split(run, np.flatnonzero(np.diff(np.cumsum(size[run]) // GROUP)) + 1) if len(run) else ():
+            self.bounded()
+            self.side_by_side(data, start[own], size[own], ends, kept)
+        total = np.concatenate([[0], np.cumsum(kept)])
+        return ends[kept], total[start + size] - total[start]
+
+    def side_by_side(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, ends: np.ndarray, kept: np.ndarray) -> None:
+        """Marks the tokens of the pieces, longest first, at the bytes where they end."""
+        state = np.zeros(len(size), np.int64)
+        for j in range(int(size[0])):
+            m = int(np.searchsorted(-size, -j))
+            at = start[:m] + j
+            key = state[:m] << 8 | data[at]
+            to = self.next[key]
+            if to.min() < 0:
+                for k in np.unique(key[to < 0]).tolist():
+                    self.step(k >> 8, k & 255)
+                to = self.next[key]
+            ends[at], state[:m] = self.token[key], to
+        at = start + size - 1
+        while len(at):
+            kept[at] = True
+            after = at - self.length[ends[at]]
+            more = after >= start
+            at, start = after[more], start[more]
+
 
 class Chunks(dict):
     """Chunks of text to their packed ids, in two generations, so that frequent chunks stay."""
@@ -225,24 +295,27 @@ class Chunks(dict):
         super().__init__()
         self.transducer, self.split, self.most, self.older = transducer, split, most, {}
 
-    def of_pieces(self, pieces: list[str]) -> bytes:
-        encode, ids = self.transducer.encode, array.array("i")
-        for p in pieces:
-            ids.extend(encode(p.encode("utf-8")))
-        return ids.tobytes()
-
-    def __missing__(self, chunk: str) -> bytes:
-        if (out := self.older.get(chunk)) is None:
-            pieces = self.split(chunk)
-            if len(pieces) > 1 and (first := self.get(pieces[0])) is not None:
-                out = first + self.of_pieces(pieces[1:])
-            else:
-                out = self.of_pieces(pieces)
-        if len(self) >= self.most:
+    def add(self, chunks: set[str]) -> None:
+        """Encode the chunks that are not known: their distinct pieces run together."""
+        if len(self) > self.most:
             self.older = dict(self)
             self.clear()
-        self[chunk] = out
-        return out
+        new, older = [], self.older
+        for c in chunks.difference(self):
+            if (known := older.get(c)) is None:
+                new.append(c)
+            else:
+                self[c] = known
+        pieces, counts = [], []
+        for c in new:
+            own = self.split(c)
+            pieces += own
+            counts.append(len(own))
+        ids, size = self.transducer.encode_all([p.encode("utf-8") for p in pieces])
+        packed = ids.astype("<i4").tobytes()
+        ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum([0, *counts])] * 4
+        ends = ends.tolist()
+        self.update(zip(new, (packed[i:j] for i, j in zip(ends, ends[1:]))))
 
 
 class Encoder:
@@ -252,16 +325,22 @@ class Encoder:
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
         self.transducer, self.split = Transducer(ranks_of(path)), regex.compile(pattern).findall
         self.chunks = Chunks(self.transducer, self.split)
-        self.uncut = regex.compile(r"\s\s|\x00").search if pattern == public_tokenizers.PATTERN else lambda _: True
+        self.uncut = re.compile(r"\s\s|\x00").search if pattern == public_tokenizers.PATTERN else lambda _: True
 
-    def packed(self, text: str) -> bytes:
-        """The ids of a text, four bytes each."""
+    def cut(self, text: str) -> list[str]:
         if self.uncut(text):
-            return self.chunks.of_pieces(self.split(text))
-        return b"".join(map(self.chunks.__getitem__, text.replace(" ", "\x00 ").replace("\n", "\x00\n").split("\x00")))
+            return self.split(text)
+        return text.replace(" ", "\x00 ").replace("\n", "\x00\n").split("\x00")
+
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, four bytes each."""
+        cut = [self.cut(t) if t else [] for t in texts]
+        self.chunks.add(set().union(*cut))
+        get = self.chunks.__getitem__
+        return [b"".join(map(get, c)) for c in cut]
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.packed(text), dtype="i4").tolist()
+        return np.frombuffer(self.packed([text])[0], dtype="<i4").tolist()
 
 
 class Utf8Stream:
@@ -364,7 +443,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", out: st
         workers.claim("byte_bpe")
         packed = encoder(path).packed
         for b in slices(batches):
-            parts = [packed(t) if t else b"" for t in b.column(b.schema.get_field_index(text)).to_pylist()]
+            parts = packed(b.column(b.schema.get_field_index(text)).to_pylist())
             ends = np.cumsum([0, *(len(p) // 4 for p in parts)], dtype=np.int32)
             yield with_column(b, out, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), dtype="i4"))), names)
 
@@ -402,7 +481,7 @@ def round_trip(docs: DataFrame, path: str | None = None, text: str = "text", ids
         workers.claim("byte_bpe")
         packed, d = encoder(path).packed, decoder(path)
         for b in slices(batches):
-            parts = [packed(t) if t else b"" for t in b.column(b.schema.get_field_index(text)).to_pylist()]
+            parts = packed(b.column(b.schema.get_field_index(text)).to_pylist())
             counts = np.cumsum([0, *(len(p) // 4 for p in parts)], dtype=np.int32)
             flat = np.frombuffer(b"".join(parts), dtype="i4")
             data, ends = d.joined(flat.astype(np.int64))
