@@ -18,15 +18,22 @@ from chronostrata.llm import words as W
 from chronostrata.llm import workers
 from chronostrata.llm.lineage import cut, ship
 
-#: Text in a block. Blocks times parts is the number of arrays exchanged, so let it grow with the
-#: square root of the input beyond some terabytes.
-BLOCK_BYTES = 4 << 20
+#: Text in a block: blocks times parts is the number of arrays exchanged, so it grows with the square root
+#: of an input over LARGE, to MOST_BLOCK at most (a worker holds some ten arrays of a block's n-grams).
+BLOCK_BYTES, MOST_BLOCK, LARGE = 4 << 20, 32 << 20, 1 << 40
 
 
-def packed(docs: DataFrame, block_bytes: int = BLOCK_BYTES, count_words: bool = False) -> DataFrame:
+def block_bytes_for(docs: DataFrame) -> int:
+    """From the size that the plan states for docs; the least where it knows none."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return BLOCK_BYTES if size >= 1 << 60 else min(MOST_BLOCK, BLOCK_BYTES * max(1, round((size / LARGE) ** 0.5)))
+
+
+def packed(docs: DataFrame, block_bytes: int | None = None, count_words: bool = False) -> DataFrame:
     """block, payload, n_words (null unless asked for): the checkpointed blocks of docs, with all columns of
     docs: doc_id and text among them."""
 
+    block_bytes = block_bytes or block_bytes_for(docs)
     text = docs.columns.index("text")
 
     def row(held: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -72,7 +79,7 @@ def texts_of(table: pa.Table) -> list[bytes]:
     return [t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()]
 
 
-def parts_for(n_blocks: int, least: int = 64, most: int = 1 << 14) -> int:
+def parts_for(n_blocks: int, least: int = 64, most: int = 1 << 20) -> int:
     """Parts of the hash space, a power of two: about two blocks' worth of keys in each."""
     return min(most, max(least, 1 << max(0, (n_blocks // 2 - 1).bit_length())))
 
@@ -102,7 +109,7 @@ def unpacked_keys(data: bytes) -> np.ndarray:
     return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
 
 
-def answered(blocks: DataFrame, replies: DataFrame) -> DataFrame:
-    """blocks with their replies (part, reply) gathered: as many as there are parts, for each block."""
-    own = replies.groupBy("block").agg(F.collect_list(F.struct("part", "reply")).alias("replies"))
+def answered(blocks: DataFrame, replies: DataFrame, *more: str) -> DataFrame:
+    """blocks with their replies (part, reply and ``more``) gathered: as many as there are parts, for each block."""
+    own = replies.groupBy("block").agg(F.collect_list(F.struct("part", "reply", *more)).alias("replies"))
     return blocks.join(own, "block", "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -9,22 +11,37 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+RELEASED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a folder of our own only where the setting is absent."""
+    """The folder of spark.checkpoint.dir. Where the setting is absent, a local session (as in tests) gets a
+    folder of its own until it ends; a cluster must name one."""
     sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
-        current = sc.getCheckpointDir()
-        folder = current or tempfile.mkdtemp(prefix="chronostrata-checkpoint-")
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        folder = tempfile.mkdtemp(prefix="chronostrata-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
     return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written once to the shared folder: later reads survive the loss of executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The same rows, written once to the shared folder: later reads survive the loss of executors. The
+    exchanges that led to them are deleted once the rows are written, not when the driver collects garbage."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(RELEASED, None)
+    if before is None:
+        return df.checkpoint(eager=True)
+    spark.conf.set(RELEASED, "true")  # read when a plan is made: the select makes one
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(RELEASED, before)
 
 
 _shipped: set[str] = set()

@@ -1,14 +1,17 @@
-"""Words of many texts at once, in numpy: boundaries and 64-bit hashes without a Python step per word."""
+"""Words of many texts at once, in numpy: boundaries and 64-bit hashes, without a Python step for words of up to 64 bytes."""
 
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 
 #: Bytes of text that are handled together; a longer text is handled alone.
 PIECE = 1 << 20
+#: Longer words are hashed by BLAKE2b.
+LONG = 64
 ODD = 0x9E3779B97F4A7C15
 BASE = 0xD6E8FEB86659FD93
 MASK = (1 << 64) - 1
@@ -84,12 +87,19 @@ def boundaries(data: np.ndarray, more: bytes = b"") -> tuple[np.ndarray, np.ndar
 
 
 def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word: equal words have equal hashes."""
+    """A 64-bit hash of each word: equal words have equal hashes.
+
+    Sums of powers modulo 2**64 have collisions by construction between words of a thousand letters; words
+    over LONG bytes are hashed one by one instead.
+    """
     up, down = powers(len(data) + 1)
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
     np.cumsum(byte_table(fold)[data] * up[: len(data)], out=sums[1:])
     h = (sums[ends] - sums[starts]) * down[starts]
+    for k in np.flatnonzero(ends - starts > LONG).tolist():
+        word = data[starts[k] : ends[k]].tobytes()
+        h[k] = int.from_bytes(hashlib.blake2b(word.lower() if fold else word, digest_size=8).digest(), "little")
     return mixed(h + (ends - starts).astype(np.uint64) * np.uint64(ODD))
 
 

@@ -130,35 +130,41 @@ def test_one_of_each(docs):
     assert got[0] == 1 and got[23] == 0 and got[24] == 0 and got[3] == 1 and got[None] == 2 and got[20] == got[21] == got[22] == 1
 
 
-def test_lm_scoring(docs):
-    got = {(r["doc_id"], r["n_words"], r["n_backoffs"], r["score_micro"]) for r in lm_scoring.score_documents(docs).collect()}
-    texts = [(d, words((t or "").lower())) for d, t, *_ in rows()]
-    one, two = Counter(w for _, x in texts for w in x), Counter(p for _, x in texts for p in zip(x, x[1:]))
-    total, want = sum(one.values()), set()
+def backoff(order, alpha, least, others):
+    texts = [(d, words((t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))) for d, t, *_ in rows()]
+    grams = lambda x: Counter(tuple(x[i - n : i]) for n in range(1, order + 1) for i in range(n, len(x) + 1))
+    count, total, want = sum((grams(x) for _, x in texts), Counter()), sum(len(x) for _, x in texts), Counter()
     for d, x in texts:
+        own, n_words = (grams(x), len(x)) if others else (Counter(), 0)
         micro = lost = 0
-        for i, w in enumerate(x):
-            p = one[w] / total
-            if i:
-                pair = (x[i - 1], w)
-                if two[pair] >= 2:
-                    p = two[pair] / one[x[i - 1]]
-                else:
-                    p, lost = 0.4 * p, lost + 1
-            micro += int(np.rint(np.log(p) * 1e6))
-        want.add((d, len(x), lost, micro))
-    assert got == want
-
-
-def test_lm_scoring_with_two_words_of_context(docs):
-    got = {(r["doc_id"], r["n_words"], r["n_backoffs"], r["score_micro"]) for r in lm_scoring.score_documents(docs, order=3, least=1).collect()}
-    texts = [(d, words((t or "").lower())) for d, t, *_ in rows()]
-    count = Counter(tuple(x[i - n : i]) for _, x in texts for n in (1, 2, 3) for i in range(n, len(x) + 1))
-    total, want = sum(len(x) for _, x in texts), set()
-    for d, x in texts:
-        grams = [tuple(x[max(0, i - 2) : i + 1]) for i in range(len(x))]
-        want.add((d, len(x), 0, sum(int(np.rint(np.log(count[g] / (count[g[:-1]] if g[:-1] else total)) * 1e6)) for g in grams)))
-    assert got == want
+        for i in range(len(x)):
+            p, given_up = 1.0, 0
+            for n in range(min(order, i + 1), 0, -1):
+                g = tuple(x[i - n + 1 : i + 1])
+                c = count[g] - own[g]
+                if c >= (least if n > 1 else 1):
+                    p *= c / (count[g[:-1]] - own[g[:-1]] if n > 1 else max(1, total - n_words))
+                    break
+                p, given_up = p * alpha, given_up + 1
+            else:
+                p /= max(1, total - n_words)
+            micro, lost = micro + int(np.rint(np.log(p) * 1e6)), lost + given_up
+        want[(d, len(x), lost, micro)] += 1
+    return want
+
+
+@pytest.mark.parametrize("order, least, others", [(3, 1, True), (3, 1, False), (2, 2, False), (4, 2, True), (1, 1, True)])
+def test_lm_scoring(docs, order, least, others):
+    out = lm_scoring.score_documents(docs, order=order, least=least, others=others).collect()
+    close = lambda rows: sorted((str(r[0]), *r[1:]) for r in rows)
+    got, want = close((r["doc_id"], r["n_words"], r["n_backoffs"], r["score_micro"]) for r in out), close(backoff(order, 0.4, least, others).elements())
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert all(abs(x[3] - y[3]) <= x[1] for x, y in zip(got, want))  # the order of multiplications may move a word's last digit
+
+
+def test_counts_in_bytes():
+    x = np.array([0, 1, 254, 255, 256, 1 << 40, 7])
+    assert lm_scoring.unvaried(lm_scoring.varied(x)).tolist() == x.tolist()
 
 
 def test_lm_scoring_trigrams_are_registered():
