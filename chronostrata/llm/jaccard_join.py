@@ -13,8 +13,9 @@ with fewer shared shingles than t has no partner and goes no further.
 
 Equal sets are one class, named by its smallest doc_id. Within the list of classes that share a prefix
 shingle, all are compared with the most central class first, the hub; links become components. Pairs in
-different components are then compared only where lengths and overlaps with the hub still allow a link
-(see links()). Copies and near copies thus cost a few comparisons each instead of one for each pair,
+different components are then candidates only where lengths and overlaps with the hub still allow a link
+(see links()); those whose prefixes share fewer shingles than demanded go, and only the rest is verified
+on whole sets. Copies and near copies thus cost a few comparisons each instead of one for each pair,
 and no link between different components is missed.
 
 Words are `[^\\x20\\x09-\\x0D]+`, A-Z in lower case; fewer than five words are one shingle. Defined
@@ -149,26 +150,33 @@ def described(table: DataFrame, percent: int) -> DataFrame:
     return cut(B.answered(table, replies).select("block", "payload", "replies").mapInArrow(describe, "block long, place long, doc_id long, n long, digest binary, shared long, demand int, tokens array<long>, own binary"))
 
 
+def demanded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose prefixes share as many shingles as the smaller demand: no other is linked.
+    Only prefixes are read for this, sets are attached to the pairs that are left."""
+    left = sets.select(F.col("d").alias("a"), F.col("demand").alias("la"), F.col("tokens").alias("ta"))
+    right = sets.select(F.col("d").alias("b"), F.col("demand").alias("lb"), F.col("tokens").alias("tb"))
+    shared = F.size(F.array_intersect("ta", "tb"))
+    return pairs.join(left, "a").join(right, "b").filter(shared >= F.least("la", "lb")).select("a", "b")
+
+
 def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, na, nb, both, linked, rest for pairs (a, b) of documents.
+    """a, b, na, nb, both, linked, rest for pairs (a, b) of documents: verified on the whole sets.
 
-    A pair whose prefixes share fewer shingles than the smaller demand is not linked; any other is
-    verified on the whole sets. ``rest`` is a prefix of the shared shingles of a that b lacks: two
-    documents a that are linked although b does not explain it share one of these.
+    ``rest`` is a prefix of the shared shingles of a that b lacks: two documents a that are linked although
+    b does not explain it share one of these.
     """
-    left = sets.select(F.col("d").alias("a"), F.col("n").alias("na"), F.col("demand").alias("la"), F.col("tokens").alias("ta"), F.col("own").alias("sa"))
-    right = sets.select(F.col("d").alias("b"), F.col("n").alias("nb"), F.col("demand").alias("lb"), F.col("tokens").alias("tb"), F.col("own").alias("sb"))
+    left = sets.select(F.col("d").alias("a"), F.col("n").alias("na"), F.col("own").alias("sa"))
+    right = sets.select(F.col("d").alias("b"), F.col("n").alias("nb"), F.col("own").alias("sb"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         workers.claim("blocks")
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("na", "nb", "la", "lb", "ta", "tb")]
             both, linked, rest = [], [], []
-            for na, nb, la, lb, ta, tb, sa, sb in zip(*columns, batch.column("sa"), batch.column("sb")):
+            for na, nb, sa, sb in zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist(), batch.column("sa"), batch.column("sb")):
                 x, y = np.frombuffer(sa.as_buffer(), np.uint64), np.frombuffer(sb.as_buffer(), np.uint64)
                 inside = np.isin(x, y, assume_unique=True)
                 both.append(n := int(inside.sum()))
-                linked.append(len(set(ta).intersection(tb)) >= min(la, lb) and 100 * n >= percent * (na + nb - n))
+                linked.append(100 * n >= percent * (na + nb - n))
                 more, least = x[~inside], max(1, least_overlap(na, percent) - n)
                 rest.append(more[: len(more) - least + 1].view(np.int64) if len(more) >= least else [])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "na", "nb")), pa.array(both, pa.int64()), pa.array(linked, pa.bool_()), pa.array(rest, pa.list_(pa.int64()))], ["a", "b", "na", "nb", "both", "linked", "rest"])
@@ -213,7 +221,7 @@ def links(found: DataFrame, percent: int) -> DataFrame:
     spread = known.select("hub", "d", "n", "both", "reach", "label", F.explode("rest").alias("more"))
     x2, y2 = spread.alias("x"), spread.alias("y")
     by_rest = x2.join(y2, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.more") == F.col("y.more")) & (F.col("x.d") < F.col("y.d")) & may).select(*pair)
-    second = compared(by_hub.union(by_rest).distinct(), sets, percent).filter("linked").select("a", "b")
+    second = compared(demanded(by_hub.union(by_rest).distinct(), sets), sets, percent).filter("linked").select("a", "b")
     return first.union(cut(second))
 
 
