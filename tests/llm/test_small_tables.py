@@ -101,6 +101,43 @@ def test_mixed_repeats_rows(docs):
     assert got == +taken
 
 
+COPIES = {
+    "equal rows": [(7, "a b c d e", "s") for _ in range(101)] + [(k, "f " * (k % 9), "t") for k in range(50)],
+    "null ids": [(None, f"{k} " * (1 + k % 12), "s") for k in range(100)] + [(k, "f " * (1 + k % 9), "t") for k in range(200)],
+    "copies under other ids": [(k, "same text here", "s") for k in range(150)] + [(k, "x " * (1 + k % 5), None) for k in range(300)],
+}
+
+
+@pytest.mark.parametrize("run", [mixing.RUN, 10])
+@pytest.mark.parametrize("name", COPIES)
+def test_taken_words_come_near_the_target(spark, name, run, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN", run)
+    df = spark.createDataFrame(COPIES[name], "doc_id long, text string, source string").repartition(3)
+    out = mixing.mix(df).collect()
+    assert len(out) == len(COPIES[name])
+    again = mixing.mix(df.repartition(5)).collect()
+    assert Counter(map(tuple, out)) == Counter(map(tuple, again))
+    taken, target = Counter(), {}
+    for r in out:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        assert r["taken"] <= 2 * r["size"]
+    largest = max(len(words(t)) for _, t, _ in COPIES[name])
+    assert all(abs(taken[s] - target[s]) <= largest for s in target)
+    got = Counter()
+    for r in mixing.mixed(df).collect():
+        got[r["source"]] += len(words(r["text"]))
+    assert got == +taken
+
+
+def test_ranges_are_bounded_for_any_quality(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(200000).withColumn("q", F.when(F.col("id") % 3 == 0, mixing.LEAST_QUALITY).otherwise(1.0)).withColumn("key", -F.log(mixing.unit(F.lit(0), F.col("id"))) / F.col("q"))
+    at = F.floor((1.0 - F.exp(-mixing.LEAST_QUALITY * F.col("key"))) * 200)
+    assert rows.groupBy(at.alias("at")).count().agg(F.max("count")).first()[0] < 1.2 * 1000 / mixing.LEAST_QUALITY
+
+
 def test_secrets_on_documents(docs):
     out = secrets.scanned(docs)
     assert by_row(out, "doc_id", "_base") == Counter((d, "") for d, *_ in rows())
