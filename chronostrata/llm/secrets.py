@@ -11,6 +11,10 @@ each use and never held: decompression, escapes and base64 runs of any length ar
 its text is taken in windows that end where no pattern can go on or, if there is no such place in WINDOW
 bytes, overlap by OVERLAP. All that is found in unpacked data is reported as the stretch that was packed.
 
+Runs of base64 under 16 characters are no layer: the shortest match of any pattern has 12. Data that are no
+readable text are scanned too, byte by byte. Streams of xz and zstd that ask for more than LARGEST_WINDOW
+of memory are left packed.
+
 Defined results: a null text is empty and has no spans; the same span found in several layers counts
 once; a zero-length text, repeated rows and further columns need no special care.
 """
@@ -20,7 +24,6 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
-import codecs
 import hashlib
 import itertools
 import lzma
@@ -37,9 +40,12 @@ from pyspark.sql import types as T
 
 from chronostrata.llm import workers
 from chronostrata.llm.lineage import ship
+from chronostrata.llm.names import fresh
 
 KINDS = ("assign", "access", "hex")
 WINDOW, OVERLAP, MOST_UNPACKED = 1 << 20, 1 << 14, 1 << 22
+#: What a decoder of xz or zstd may hold itself; a stream that asks for more is left packed.
+LARGEST_WINDOW = 1 << 28
 LEAST_VALUE = 6
 
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -158,44 +164,49 @@ class Reader:
 
 
 def streams(chunks: Iterator[bytes]) -> Iterator[bytes]:
-    """Chunks of what compressed data hold; nothing for other data. Broken data give what comes before."""
-    head = b""
-    for chunk in chunks:
-        head += chunk
-        if len(head) >= 6:
-            break
-    chunks = itertools.chain([head], chunks)
-    if head[:2] == b"\x1f\x8b":
-        d = zlib.decompressobj(31)
-    elif len(head) > 2 and head[0] & 15 == 8 and head[0] >> 4 <= 7 and (head[0] << 8 | head[1]) % 31 == 0:
-        d = zlib.decompressobj(15)
-    elif head[:3] == b"BZh":
-        d = bz2.BZ2Decompressor()
-    elif head[:6] == b"\xfd7zXZ\0":
-        d = lzma.LZMADecompressor(lzma.FORMAT_XZ, memlimit=1 << 27)
-    elif head[:4] == b"\x28\xb5\x2f\xfd":
+    """Chunks of what compressed data hold, all members or frames one after another; nothing for other
+    data. Broken data give what comes before."""
+    while True:
+        head = b""
+        for chunk in chunks:
+            head += chunk
+            if len(head) >= 6:
+                break
+        chunks = itertools.chain([head], chunks)
+        if head[:2] == b"\x1f\x8b":
+            d = zlib.decompressobj(31)
+        elif len(head) > 2 and head[0] & 15 == 8 and head[0] >> 4 <= 7 and (head[0] << 8 | head[1]) % 31 == 0:
+            d = zlib.decompressobj(15)
+        elif head[:3] == b"BZh":
+            d = bz2.BZ2Decompressor()
+        elif head[:6] == b"\xfd7zXZ\0":
+            d = lzma.LZMADecompressor(lzma.FORMAT_XZ, memlimit=LARGEST_WINDOW)
+        elif head[:4] == b"\x28\xb5\x2f\xfd" or (head[1:4] == b"\x2a\x4d\x18" and head[0] >> 4 == 5):
+            try:
+                with zstandard.ZstdDecompressor(max_window_size=LARGEST_WINDOW).stream_reader(Reader(chunks), read_across_frames=True) as r:
+                    while chunk := r.read(1 << 16):
+                        yield chunk
+            except zstandard.ZstdError:
+                pass
+            return
+        else:
+            return
         try:
-            with zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(Reader(chunks)) as r:
-                while chunk := r.read(1 << 16):
-                    yield chunk
-        except zstandard.ZstdError:
-            pass
-        return
-    else:
-        return
-    try:
-        for data in chunks:
-            out = d.decompress(data, 1 << 16)
-            while out or not (d.eof or getattr(d, "needs_input", True)):
-                if out:
-                    yield out
+            for data in chunks:
+                out = d.decompress(data, 1 << 16)
+                while out or not (d.eof or getattr(d, "needs_input", True)):
+                    if out:
+                        yield out
+                    if d.eof:
+                        break
+                    out = d.decompress(getattr(d, "unconsumed_tail", b""), 1 << 16)
                 if d.eof:
                     break
-                out = d.decompress(getattr(d, "unconsumed_tail", b""), 1 << 16)
-            if d.eof:
-                return
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        pass
+        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+            return
+        if not d.eof:
+            return
+        chunks = itertools.chain([d.unused_data.lstrip(b"\0")], chunks)  # padding may stand between members
 
 
 def part(chunks: Iterator[bytes], start: int, end: int) -> Iterator[bytes]:
@@ -300,18 +311,6 @@ def windows(chunks: Iterator[bytes]) -> Iterator[tuple[bytes, bool]]:
         yield held, True
 
 
-def readable_flow(chunks: Iterator[bytes]) -> bool:
-    decode, odd, size = codecs.getincrementaldecoder("utf-8")(), 0, 0
-    try:
-        for chunk in itertools.chain(chunks, [None]):
-            text = decode.decode(chunk or b"", chunk is None)
-            size += len(text)
-            odd += sum(not (c.isprintable() or c in "\t\n\r") for c in text)
-    except UnicodeDecodeError:
-        return False
-    return size > 0 and odd * 20 <= size
-
-
 def readable(data: bytes) -> str | None:
     """Text of well-formed UTF-8 that is nearly all printable."""
     try:
@@ -343,12 +342,9 @@ class Unwrapper:
             if j - i > OVERLAP:
                 yield from unpacked(lambda i=i, j=j: streams(without_url(part(again(), i, j))), fixed, depth)
         for i, j in long_runs(again(), PIECES):
-            found = False
-            for x in self.long_run(lambda i=i, j=j: part(again(), i, j), fixed, depth):
-                found = True
-                yield x
-            if not found:
-                for k, m in long_runs(part(again(), i, j), PLAIN_PIECES):
+            yield from self.long_run(lambda i=i, j=j: part(again(), i, j), fixed, depth)
+            for k, m in long_runs(part(again(), i, j), PLAIN_PIECES):
+                if m - k < j - i:
                     yield from self.long_run(lambda i=i + k, j=i + m: part(again(), i, j), fixed, depth)
 
     @staticmethod
@@ -357,7 +353,7 @@ class Unwrapper:
         for x in unpacked(lambda: streams(without_base64(run())), fixed, depth):
             found = True
             yield x
-        if not found and readable_flow(without_base64(run())):
+        if not found:
             yield from unpacked(lambda: without_base64(run()), fixed, depth)
 
     def url(self, layer: Layer) -> Iterator[Layer]:
@@ -426,8 +422,6 @@ class Unwrapper:
         """Layers of the base64 ``run``, whose characters stand at ``at``."""
         body = run.rstrip("=")
         body = body[: len(body) - (len(body) % 4 == 1)]
-        if body.islower() and body.isalpha():
-            return  # a long word: base64 of text has capitals or digits, as one letter in four carries two high bits
         try:
             data = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
         except (binascii.Error, ValueError):
@@ -436,17 +430,18 @@ class Unwrapper:
         for x in self.packed(layer, int(at[0]), int(at[-1]) + 1, data):
             found = True
             yield x
-        if not found and (text := readable(data)) is not None:
-            found = True
+        if not found and data:
+            found = (text := readable(data)) is not None
+            size = np.array([len(c.encode("utf-8")) for c in text]) if found else np.ones(len(data), np.int64)
+            text = text if found else data.decode("latin-1")
             if layer.fixed:
                 yield Layer(text, depth=layer.depth + 1, fixed=layer.fixed)
-                return
-            size = np.array([len(c.encode("utf-8")) for c in text])
-            first = np.cumsum(size) - size
-            a = at[np.minimum(first * 4 // 3, len(run) - 1)]
-            b = at[np.minimum(-(-(first + size) * 4 // 3), len(run)) - 1]
-            begin, end = (a, b + 1) if layer.starts is None else (layer.starts[a], layer.ends[b])
-            yield Layer(text, begin, end, layer.depth + 1)
+            else:
+                first = np.cumsum(size) - size
+                a = at[np.minimum(first * 4 // 3, len(run) - 1)]
+                b = at[np.minimum(-(-(first + size) * 4 // 3), len(run)) - 1]
+                begin, end = (a, b + 1) if layer.starts is None else (layer.starts[a], layer.ends[b])
+                yield Layer(text, begin, end, layer.depth + 1)
         if not found and whole:
             for part in re.finditer(r"[A-Za-z0-9+]{16,}={0,2}", run):
                 if part[0] != run:
@@ -485,12 +480,19 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
     return ordered(base), ordered(found)
 
 
+PATTERNS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX}
+PADDING = re.compile("={0,2}")
+
+
 def redacted(text: str, spans: list[Span]) -> str:
-    """The text with each stretch of overlapping spans replaced by the kind of its first."""
+    """The text with each stretch of overlapping spans replaced by the kind of its first; the padding behind
+    an encoded one goes with it."""
     out, at = [], 0
     for kind, a, b in spans:
         if a >= at:
             out += [text[at:a], f"[{kind}]"]
+        if b > at and not PATTERNS[kind].fullmatch(text, a, b):
+            b = PADDING.match(text, b).end()
         at = max(at, b)
     return "".join([*out, text[at:]])
 
@@ -499,15 +501,14 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-RESULT = T.StructType(
-    [T.StructField("_spans", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("_base", T.StringType()), T.StructField("_redacted", T.StringType())]
-)
+SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with ``_spans`` (all, in order), ``_base`` (the base ones, joined) and ``_redacted`` text."""
-    docs = docs.drop(*RESULT.names)
-    schema = T.StructType([*docs.schema.fields, *RESULT.fields])
+def scanned(docs: DataFrame, text: str = "text", spans: str = "_spans", base: str = "_base", clean: str = "_redacted") -> DataFrame:
+    """docs with ``spans`` (all, in order), ``base`` (the base ones, joined) and the text without secrets as
+    ``clean``; columns of docs that have these names are replaced."""
+    docs = docs.drop(spans, base, clean)
+    schema = T.StructType([*docs.schema.fields, T.StructField(spans, SPANS), T.StructField(base, T.StringType()), T.StructField(clean, T.StringType())])
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -518,9 +519,9 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
                 s = b.slice(i, 500)
                 texts = s.column(s.schema.get_field_index(text)).to_pylist()
                 found = [find(t or "") for t in texts]
-                spans = pa.array([[{"kind": k, "start": x, "end": y} for k, x, y in f[1]] for f in found], kind)
-                clean = pa.array([redacted(t, f[1]) if t and f[1] else t for t, f in zip(texts, found)], pa.string())
-                yield pa.RecordBatch.from_arrays([*(s.column(s.schema.get_field_index(n)) for n in names), spans, pa.array([joined(f[0]) for f in found]), clean], [*names, *RESULT.names])
+                all_spans = pa.array([[{"kind": k, "start": x, "end": y} for k, x, y in f[1]] for f in found], kind)
+                cleaned = pa.array([redacted(t, f[1]) if t and f[1] else t for t, f in zip(texts, found)], pa.string())
+                yield pa.RecordBatch.from_arrays([*(s.column(s.schema.get_field_index(n)) for n in names), all_spans, pa.array([joined(f[0]) for f in found], pa.string()), cleaned], schema.names)
 
     ship(docs.sparkSession)
     return docs.mapInArrow(run, schema)
@@ -529,9 +530,10 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with secrets taken out of ``text``; ``n_chars``, where there is one, follows the text."""
     columns = docs.columns
-    out = scanned(docs).withColumn("text", F.col("_redacted"))
+    spans, base, clean = (fresh(columns, n) for n in ("_spans", "_base", "_redacted"))
+    out = scanned(docs, "text", spans, base, clean).withColumn("text", F.col(clean))
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*columns)
 
 

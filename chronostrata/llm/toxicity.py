@@ -28,6 +28,7 @@ from chronostrata.llm import words as W
 from chronostrata.llm import workers
 from chronostrata.llm.labelled import FUNCTION_WORDS, held_out, sample
 from chronostrata.llm.lineage import ship
+from chronostrata.llm.names import fresh
 
 #: Bounds on the rows to fit on, by class, and on the characters of each.
 POSITIVES, NEGATIVES, MOST_CHARS = 3_000, 6_000, 8_000
@@ -242,7 +243,8 @@ def scored(docs: DataFrame, model: Model, text: str = "text", out: str = "score"
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The documents that score below 0.5."""
-    return scored(docs, model, out="_toxicity").filter("_toxicity < 0.5").select(*docs.columns)
+    score = fresh(docs.columns, "_toxicity")
+    return scored(docs, model, out=score).filter(F.col(score) < 0.5).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

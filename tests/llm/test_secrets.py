@@ -46,6 +46,59 @@ def test_layers_are_found_where_they_stand(name):
     assert S not in x.redacted(text, found) and LAYERS[name] not in x.redacted(text, found)
 
 
+MEMBERS = {
+    "gzip": gzip.compress(b"nothing") + gzip.compress(S.encode()),
+    "gzip, padded": gzip.compress(b"nothing") + bytes(512) + gzip.compress(S.encode()),
+    "zlib": zlib.compress(b"nothing") + zlib.compress(S.encode()),
+    "bz2": bz2.compress(b"nothing") + bz2.compress(S.encode()),
+    "xz": lzma.compress(b"nothing") + lzma.compress(S.encode()),
+    "zstd": zstandard.compress(b"nothing") + zstandard.compress(S.encode()),
+    "gzip, then bz2": gzip.compress(b"nothing") + bz2.compress(S.encode()),
+}
+
+
+@pytest.mark.parametrize("name", MEMBERS)
+def test_all_members_are_read(name):
+    code = b64(MEMBERS[name])
+    assert x.find(f"é {code} after")[1] == [("assign", 2, 2 + len(code))]
+
+
+def test_secrets_among_binary_data_are_found():
+    code = b64(bytes(range(128, 192)) + S.encode() + bytes(40))
+    assert [k for k, _, _ in x.find(code)[1]] == ["assign"]
+
+
+def test_padding_goes_with_the_run():
+    for tail in ("", "x", "xy"):
+        code = b64(S + tail)
+        assert x.redacted(f"a {code} b", x.find(f"a {code} b")[1]) == "a [assign] b"
+
+
+def test_redacted_texts_hold_no_planted_secret():
+    import random
+
+    random.seed(11)
+    wraps = [b64, lambda s: b64(gzip.compress(s.encode())), lambda s: b64(zlib.compress(s.encode())), lambda s: urllib.parse.quote(s, safe=""), lambda s: "".join(f"%{c:02X}" for c in s.encode()), lambda s: "".join(f"\\u{ord(c):04x}" for c in s)]
+    for _ in range(300):
+        parts, planted = [], 0
+        for _ in range(random.randint(1, 6)):
+            parts.append(" ".join(random.choice(["river", "stone", "light", "über", "日本"]) for _ in range(random.randint(1, 9))))
+            if random.random() < 0.7:
+                s = random.choice(["password=", "api_key: ", "Token = '"]) + "".join(random.choice("abcdefghijkXYZ0123456789") for _ in range(random.randint(8, 24)))
+                for _ in range(random.randint(0, 3)):
+                    s = random.choice(wraps)(s)
+                parts.append(s)
+                planted += 1
+        text = " ".join(parts)
+        clean = x.redacted(text, x.find(text)[1])
+        assert clean.count("[assign]") == planted and x.find(clean)[1] == []
+
+
+def test_clashing_columns_are_kept(spark):
+    df = spark.createDataFrame([(1, f"a {S}", "x", 5, "y")], "doc_id long, text string, _spans string, _base long, _Redacted string")
+    assert x.redact(df).collect() == [(1, "a [assign]", "x", 5, "y")]
+
+
 def test_base_rules():
     assert x.find("token=token:abcdefgh")[0] == []  # the first match takes the second keyword in and is too short
     assert x.find("PASSWD : 'abcdef'")[0] == [("assign", 0, 16)]
