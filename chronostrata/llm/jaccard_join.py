@@ -38,7 +38,7 @@ from chronostrata.llm import blocks as B
 from chronostrata.llm import words as W
 from chronostrata.llm import workers
 from chronostrata.llm.components import components
-from chronostrata.llm.lineage import cut, ship
+from chronostrata.llm.lineage import cut, cut_large, ship
 
 SHINGLE, PERCENT = 5, 75
 #: Demands that a document may choose from, and what a comparison costs beside a look at a list entry.
@@ -146,8 +146,8 @@ def described(table: DataFrame, percent: int) -> DataFrame:
 
     ship(table.sparkSession)
     cells = table.mapInArrow(ask, "part int, block long, keys binary, counts binary")
-    replies = cells.groupBy("part").applyInArrow(reply, "block long, part int, reply binary")
-    return cut(B.answered(table, replies).select("block", "payload", "replies").mapInArrow(describe, "block long, place long, doc_id long, n long, digest binary, shared long, demand int, tokens array<long>, own binary"))
+    replies = cut_large(cells.groupBy("part").applyInArrow(reply, "block long, part int, reply binary"))
+    return cut_large(B.answered(table, replies).select("block", "payload", "replies").mapInArrow(describe, "block long, place long, doc_id long, n long, digest binary, shared long, demand int, tokens array<long>, own binary"))
 
 
 def demanded(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import zipfile
@@ -11,9 +12,6 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
-RELEASED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. Where the setting is absent, a local session (as in tests) gets a
     folder of its own until it ends; a cluster must name one."""
@@ -30,18 +28,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written once to the shared folder: later reads survive the loss of executors. The
-    exchanges that led to them are deleted once the rows are written, not when the driver collects garbage."""
-    spark = df.sparkSession
-    shared_folder(spark)
-    before = spark.conf.get(RELEASED, None)
-    if before is None:
-        return df.checkpoint(eager=True)
-    spark.conf.set(RELEASED, "true")  # read when a plan is made: the select makes one
-    try:
-        return df.select("*").checkpoint(eager=True)
-    finally:
-        spark.conf.set(RELEASED, before)
+    """The same rows, written once to the shared folder: later reads survive the loss of executors."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def cut_large(df: DataFrame) -> DataFrame:
+    """``cut`` for what came through a large exchange: its files are deleted before the next one is written,
+    and not whenever the driver happens to collect its garbage."""
+    out = cut(df.select("*"))  # the plan that was run belongs to the select, which nothing holds
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 _shipped: set[str] = set()

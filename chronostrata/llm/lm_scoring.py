@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from chronostrata.llm import blocks as B
 from chronostrata.llm import words as W
 from chronostrata.llm import workers
-from chronostrata.llm.lineage import cut, ship
+from chronostrata.llm.lineage import cut_large, ship
 
 ORDER, ALPHA, LEAST = 3, 0.4, 1
 
@@ -112,7 +112,7 @@ def joined_counts(table: DataFrame, orders: Sequence[int], parts: int) -> DataFr
         return pa.table({"block": cells.column("block"), "part": cells.column("part"), "reply": pa.array([varied(total[i:j]) for i, j in zip(at[:-1], at[1:])], pa.binary())})
 
     cells = table.select("block", "payload").mapInArrow(ask, "part int, block long, keys binary, counts binary")
-    return cut(cells.groupBy("part").applyInArrow(reply, "block long, part int, reply binary"))
+    return cut_large(cells.groupBy("part").applyInArrow(reply, "block long, part int, reply binary"))
 
 
 def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int = LEAST, others: bool = True) -> DataFrame:
