@@ -41,6 +41,19 @@ def samples(data: Column, depth: int) -> Column:
     return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), one)).otherwise(F.array().cast("array<double>"))
 
 
+def packed_doubles(numbers: Column, most: int) -> Column:
+    """Whole numbers of 0 to 2**53 as little-endian 64-bit floats, one after another; null for more than ``most``."""
+
+    def one(n: Column) -> Column:
+        exponent = F.length(F.bin(n)) - 1
+        fraction = F.call_function("shiftleft", n - F.call_function("shiftleft", F.lit(1).cast("bigint"), exponent), 52 - exponent)
+        bits = F.when(n == 0, F.lit(0).cast("bigint")).otherwise(F.shiftleft((exponent + 1023).cast("bigint"), 52) + fraction)
+        hexed = F.lpad(F.hex(bits), 16, "0")
+        return F.concat(*(F.substring(hexed, 15 - 2 * k, 2) for k in range(8)))
+
+    return F.when(F.size(numbers) <= most, F.unhex(F.array_join(F.transform(numbers, one), "")))
+
+
 def backoff_ms(attempt: Column) -> Column:
     """5 ms doubling with each attempt, 100 ms at most; attempts beyond the fourth are refused (null)."""
     return F.when((attempt >= 1) & (attempt <= 4), F.least(F.lit(100), F.lit(5) * F.pow(F.lit(2.0), attempt - 1)).cast("bigint"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from chronostrata.plans import links, objects, scalars, timeline, validation
+from chronostrata.plans import links, objects, records, scalars, timeline, validation
 
-FAMILIES = (timeline, links, scalars, objects, validation)
+FAMILIES = (timeline, links, scalars, objects, validation, records)
 QUERIES = {k: v for f in FAMILIES for k, v in f.QUERIES.items()}
 ORACLES = {k: v for f in FAMILIES for k, v in f.ORACLES.items()}

@@ -45,11 +45,6 @@ def canonical(spark, sf_dir):
     return o.select("o_orderkey", sc.canonical_json({"identity": F.col("o_orderstatus"), "channels": F.col("o_orderkey") % 2 + 1, "frames": F.col("o_custkey"), "intervals": F.array("o_orderkey", "o_custkey")}).alias("json"))
 
 
-@query("f2_canonical_json", f"select o_orderkey, {CANON_SQL} as json from orders")
-def f2(spark, sf_dir):
-    return canonical(spark, sf_dir)
-
-
 @query("f3_canonical_json_bytes", f"select o_orderkey, cast(strlen({CANON_SQL}) as bigint) as bytes, sha256({CANON_SQL}) as digest from orders")
 def f3(spark, sf_dir):
     return canonical(spark, sf_dir).select("o_orderkey", F.octet_length("json").cast("bigint").alias("bytes"), F.sha2(F.encode("json", "UTF-8"), 256).alias("digest"))
@@ -141,12 +136,6 @@ def f13(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", sc.funded_width(e % 17, (e % 300) * sc.MIB).alias("width"))
 
 
-@query("f15_interval_packing", "select l_orderkey, l_linenumber, l_partkey, concat_ws(',', l_linenumber, cast(l_quantity as bigint), cast(l_linenumber * l_quantity as bigint)) as packed from (select distinct l_orderkey, l_linenumber, l_partkey, l_quantity from lineitem)")
-def f15(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").distinct()
-    return li.select("l_orderkey", "l_linenumber", "l_partkey", F.array_join(F.array(F.col("l_linenumber").cast("double"), F.col("l_quantity"), F.col("l_linenumber") * F.col("l_quantity")).cast("array<bigint>").cast("array<string>"), ",").alias("packed"))
-
-
 LENGTH_SQL = "case event_id % 6 when 0 then cast(event_id as varchar) when 1 then ' ' || event_id when 2 then event_id || chr(10) when 3 then '-' || event_id when 4 then '9007199254740992' else '0' || event_id end"
 
 
@@ -195,11 +184,6 @@ def p8(spark, sf_dir):
     return o.filter(F.col("rate").isin(44100, 48000, 88200, 96000) & (F.col("o_custkey") > 0)).select("o_orderkey", sc.canonical_bytes(F.col("o_custkey"), F.col("o_orderkey") % 2 + 1, F.lit(16)).alias("canonical_bytes"))
 
 
-@query("p9_span_preflight", "select doc_id, n_chars between 1 and 2048 as admitted from documents")
-def p9(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").between(1, 2048).alias("admitted"))
-
-
 @query("p10_metadata_budget", "with c as (select c_nationkey, c_custkey, cast(sum(256 + 2 * length(c_name)) over (partition by c_nationkey order by c_custkey) as bigint) as charged from customer) select c_custkey, charged, charged <= 8192 as funded from c")
 def p10(spark, sf_dir):
     from pyspark.sql import Window as W
@@ -213,11 +197,6 @@ def p12(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", ((F.trim("c_mktsegment") != "") & (F.col("c_acctbal") > 0)).alias("valid"))
 
 
-@query("p13_index_validity", "select user_id, bool_and(value >= 0 and event_type <> '') as valid, count(*) as entries from events group by user_id")
-def p13(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.bool_and((F.col("value") >= 0) & (F.col("event_type") != "")).alias("valid"), F.count("*").alias("entries"))
-
-
 @query("p15_retryable", "select event_id, (480 + event_id % 140) between 500 and 599 as retryable from events")
 def p15(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", sc.retryable(F.col("event_id") % 140 + 480).alias("retryable"))

@@ -54,14 +54,6 @@ def p4(spark, sf_dir):
     return bad.select("l_orderkey", F.col("x.pos").alias("pos"), F.col("x.rule").alias("rule"))
 
 
-@query("p1_manifest_verdict", f"with {CHUNKS_SQL}, s as (select l_orderkey, sum(frames) as chunk_frames, count(*) as n, bool_and(frames between 1 and 48) as sizes from d group by 1), o as (select o_orderkey, o_orderstatus, o_custkey from orders) select o_orderkey, case when s.n is null then 'empty' when n > 7 then 'count' when not sizes then 'chunk' when chunk_frames % 5 = 0 then 'endpoint' else 'sound' end as verdict from o left join s on l_orderkey = o_orderkey")
-def p1(spark, sf_dir):
-    s = chunks(spark, sf_dir).groupBy("l_orderkey").agg(F.sum("frames").alias("chunk_frames"), F.count("*").alias("n"), F.bool_and(F.col("frames").between(1, 48)).alias("sizes"))
-    o = table(spark, sf_dir, "orders").select("o_orderkey")
-    verdict = F.when(F.col("n").isNull(), "empty").when(F.col("n") > 7, "count").when(~F.col("sizes"), "chunk").when(F.col("chunk_frames") % 5 == 0, "endpoint").otherwise("sound")
-    return o.join(s, o["o_orderkey"] == s["l_orderkey"], "left").select("o_orderkey", verdict.alias("verdict"))
-
-
 @query("p6_pcm_index", f"with {tl.ISLANDS_SQL}, r as (select user_id, row_number() over (partition by user_id order by start) as pos, start, frames, packed_offset * 2 + case when user_id % 13 = 6 then 2 else 0 end as byte_offset, lag(start + frames) over (partition by user_id order by start) as prev, packed_offset * 2 as want from islands), v as (select user_id, pos, case when start = prev then 'adjacent' when byte_offset <> want then 'offset' end as rule from r) select user_id, cast(min(pos) as integer) as pos, arg_min(rule, pos) as rule from v where rule is not null group by user_id")
 def p6(spark, sf_dir):
     i = tl.islands(spark, sf_dir)
@@ -69,29 +61,6 @@ def p6(spark, sf_dir):
     return iv.invalid_intervals(rows.withColumn("packed_offset", F.col("byte_offset") / 2), "user_id", "pos", tl.HORIZON, adjacent_allowed=False)
 
 
-@query("p11_document_sources", "select o_orderkey, o_orderstatus in ('F', 'O') and o_custkey > 100 and length(o_orderpriority) between 5 and 8 as admitted from orders")
-def p11(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    return o.select("o_orderkey", (F.col("o_orderstatus").isin("F", "O") & (F.col("o_custkey") > 100) & F.length("o_orderpriority").between(5, 8)).alias("admitted"))
-
-
-@query("p20_worker_responses", "select event_id, case when event_type not in ('view', 'click', 'purchase') then 'type' when value < 0 then 'count' when event_id % 10 > 7 then 'version' else 'sound' end as verdict from events")
-def p20(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    verdict = F.when(~F.col("event_type").isin("view", "click", "purchase"), "type").when(F.col("value") < 0, "count").when(F.col("event_id") % 10 > 7, "version").otherwise("sound")
-    return e.select("event_id", verdict.alias("verdict"))
-
-
-# Bytes of the buffers of one worker.
-COMPONENTS = {"exact range": 262144, "input slot": 262144, "codec copy": 262144, "decoder memory": 2097152}
-
-
-@query("a16_memory_components", "select cast(sum(b) as bigint) as accounted, cast(8388608 - sum(b) as bigint) as headroom from (values " + ", ".join(f"({v})" for v in COMPONENTS.values()) + ") t(b)")
-def a16(spark, sf_dir):
-    t = spark.createDataFrame(list(COMPONENTS.items()), "component string, bytes long")
-    return t.agg(F.sum("bytes").alias("accounted"), (F.lit(8 * sc.MIB) - F.sum("bytes")).alias("headroom"))
-
-
 @query("f14_marker_size", f"with {tl.ISLANDS_SQL}, s as (select user_id, sum(strlen('{{\"byteOffset\":' || packed_offset * 2 || ',\"frames\":' || frames || ',\"startFrame\":' || start || '}}')) as inner_bytes, count(*) as n from islands group by user_id) select user_id, cast(strlen('{{\"intervals\":[],\"user\":' || user_id || '}}') + inner_bytes + n - 1 as bigint) as bytes from s")
 def f14(spark, sf_dir):
     one = sc.canonical_json({"byteOffset": F.col("packed_offset") * 2, "frames": F.col("frames"), "startFrame": F.col("start")})
@@ -107,14 +76,6 @@ def k1(spark, sf_dir):
     return m.select("user_id", F.sha2(F.encode(sc.canonical_json({"frames": F.lit(tl.HORIZON), "intervals": F.col("intervals")}), "UTF-8"), 256).alias("digest"))
 
 
-@query("s3_manifest_admission", "select event_id, event_id % 4 = 0 as canonical from events")
-def s3(spark, sf_dir):
-    m, e = F.col("event_id") % 4, F.col("event_id").cast("string")
-    text = F.when(m == 0, F.concat(F.lit('{"a":1,"b":'), e, F.lit("}"))).when(m == 1, F.concat(F.lit('{"b":'), e, F.lit(',"a":1}'))).when(m == 2, F.concat(F.lit(' {"a":1,"b":'), e, F.lit("}"))).otherwise(F.concat(F.lit('{"a":1,"b":'), e, F.lit(',"c":2}')))
-    parsed = F.from_json(text, "a long, b long")
-    return tl.events(spark, sf_dir).select("event_id", F.coalesce(F.to_json(parsed) == text, F.lit(False)).alias("canonical"))
-
-
 @query("s14_finite_extents", "select doc_id, sha256(substr(hex(encode(text)), 101, 400)) as digest, cast(greatest(0, least(200, strlen(text) - 50)) as bigint) as bytes from documents")
 def s14(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").substr(F.lit(51), F.lit(200)).alias("part"))
