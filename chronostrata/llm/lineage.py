@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import zipfile
@@ -33,13 +32,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+RELEASED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut_large(df: DataFrame) -> DataFrame:
-    """``cut`` for what came through a large exchange: its files are deleted before the next one is written,
-    and not whenever the driver happens to collect its garbage."""
-    out = cut(df.select("*"))  # the plan that was run belongs to the select, which nothing holds
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    """``cut`` for what came through a large exchange: its files are deleted once the rows are written, and
+    not whenever the driver happens to collect its garbage."""
+    spark = df.sparkSession
+    before = spark.conf.get(RELEASED, "false")
+    spark.conf.set(RELEASED, "true")  # read when a plan is made: the select makes one
+    try:
+        return cut(df.select("*"))
+    finally:
+        spark.conf.set(RELEASED, before)
 
 
 _shipped: set[str] = set()
