@@ -239,11 +239,3 @@ def s16(spark, sf_dir):
 @query("s11_listing")
 def s11(spark, sf_dir):
     return packages.located(spark, sf_dir, "*.parquet").select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "length")
-
-
-@query("w9_coalesced_progress")
-def w9(spark, sf_dir):
-    from chronostrata.streaming import progress
-
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.floor(F.col("value") * 100).cast("bigint").alias("bytes"), F.lit(20000).cast("bigint").alias("total"), (F.col("event_id") * 7).alias("at_ms"))
-    return progress.coalesced(e, "user_id", "event_id", "bytes", "total", "at_ms")

@@ -48,8 +48,26 @@ def test_coalesced_stream(spark, tmp_path):
 
 
 def test_late_spans_are_refused(spark, tmp_path):
-    schema = "k long, s long, n long"
-    parts = [[(1, 0, 4), (1, 6, 2), (2, 3, 3)], [(1, 7, 5), (2, 6, 1)]]
-    got = run(progress.ingested_stream(stream(spark, tmp_path / "in", parts, schema), "k", "s", "n"), "ingested")
+    schema = "k long, o long, s long, n long"
+    parts = [[(1, 0, 0, 4), (1, 1, 6, 2), (2, 0, 3, 3)], [(1, 2, 7, 5), (2, 1, 6, 1)]]
+    got = run(progress.ingested_stream(stream(spark, tmp_path / "in", parts, schema), "k", "o", "s", "n"), "ingested")
     assert {r["status"] for r in got if r["k"] == 2} == {"stored"}
     assert [r["status"] for r in sorted(got, key=lambda r: r["s"]) if r["k"] == 1][-1] == "late"
+
+
+def test_rows_of_a_batch_come_in_any_order(spark, tmp_path):
+    """5,000 sound spans of one key, unordered in 8 files of one micro-batch and in many frames."""
+    random.seed(9)
+    rows = [(1, i, i * 10, 5) for i in range(5000)]
+    random.shuffle(rows)
+    schema = "k long, o long, s long, n long"
+    for i in range(8):
+        spark.createDataFrame(rows[i::8], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    df = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "300")
+    try:
+        got = run(progress.ingested_stream(df, "k", "o", "s", "n"), "unordered")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted((r["o"], r["packed_offset"], r["status"]) for r in got) == [(i, i * 5, "stored") for i in range(5000)]
