@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from chronostrata.plans import links, objects, records, scalars, streams, timeline, validation
+from chronostrata.plans import links, objects, records, scalars, streams, timeline, transactions, validation
 
-FAMILIES = (timeline, links, scalars, objects, validation, records, streams)
+FAMILIES = (timeline, links, scalars, objects, validation, records, streams, transactions)
 QUERIES = {k: v for f in FAMILIES for k, v in f.QUERIES.items()}
 ORACLES = {k: v for f in FAMILIES for k, v in f.ORACLES.items()}

@@ -150,10 +150,3 @@ def u3(spark, sf_dir):
 def u4(spark, sf_dir):
     lease = table(spark, sf_dir, "customer").filter("c_nationkey < 12").select(F.col("c_custkey").alias("user_id"))
     return pinned(spark, sf_dir).join(lease, "user_id", "left_semi").select("user_id", F.array_join(linking.without_pin(F.col("pins"), F.lit("purchase")), ",").alias("pins"))
-
-
-@query("u5_byte_equality", "select a.doc_id, b.doc_id as other from documents a join documents b on a.n_chars = b.n_chars and a.doc_id < b.doc_id and encode(a.text) = encode(b.text)")
-def u5(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("bytes"))
-    o = d.select(F.col("doc_id").alias("other"), F.col("bytes").alias("_b"))
-    return d.join(o, (d["bytes"] == o["_b"]) & (d["doc_id"] < o["other"])).select("doc_id", "other")

@@ -147,14 +147,6 @@ def a5(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("bigint").alias("bytes"))
 
 
-@query("a6_block_stream_digest", "select doc_id, sha256(text) as digest, cast((strlen(text) + 511) // 512 as bigint) as blocks from documents where strlen(text) > 0")
-def a6(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("data"))
-    blocks = packages.chunked(d, "data", 512)
-    whole = F.expr("listagg(bytes) within group (order by chunk)")
-    return blocks.groupBy("doc_id").agg(F.sha2(whole, 256).alias("digest"), F.count("*").alias("blocks"))
-
-
 @query("a4_blake3")
 def a4(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", blake3_hex(F.encode("text", "UTF-8")).alias("digest"))

@@ -33,3 +33,29 @@ COUNTED = {
 @pytest.mark.parametrize("n", sorted(COUNTED))
 def test_counted_digests(n):
     assert digests.blake3(bytes(i % 251 for i in range(n))) == COUNTED[n]
+
+
+def test_piece_by_piece_and_side_by_side():
+    import random
+
+    from chronostrata.functions import digests as d
+
+    random.seed(2)
+    sizes = [0, 1, 63, 64, 65, 1023, 1024, 1025, 2048, 2049, 3072, 5000, 31744, 102400]
+    objects = [bytes(i % 251 for i in range(n)) for n in sizes]
+    assert d.blake3_all(objects) == [d.blake3(x) for x in objects]
+    whole = bytes(random.randrange(256) for _ in range(70000))
+    for subtree in (1, 2, 4, 16):
+        for n in (0, 1, 1024, 1025, 2048, 4096, 4097, 16384, 16385, 70000):
+            h = d.Blake3()
+            h.SUBTREE = subtree
+            at = 0
+            while at < n:
+                step = random.randrange(1, 5000)
+                h.update(whole[at : min(n, at + step)])
+                at += step
+            assert h.hexdigest() == d.blake3(whole[:n]), (subtree, n)
+    h = d.Blake3()
+    h.update(b"a")
+    h.zeros(600_000)
+    assert h.hexdigest() == d.blake3(b"a" + bytes(600_000))
