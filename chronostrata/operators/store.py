@@ -56,23 +56,12 @@ def latest_by(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), order).alias("_r")).select(key, "_r.*")
 
 
-def read_order(states: DataFrame, round_robin: int, count: int, slots: int) -> DataFrame:
-    """The next sources to read: without a window first, then the emptiest, ties in turn."""
-    turn = F.pmod(F.col("pos") - round_robin, F.lit(count))
-    return states.withColumn("turn", turn).orderBy(F.col("has_window"), F.col("occupancy"), F.col("turn")).limit(slots)
-
-
 def in_turn(states: DataFrame, round_robin: int) -> DataFrame:
     """states with ``turn``: their place in a round-robin pass over all of them. ``pos`` numbers them without gaps."""
     count = states.agg(F.count("*").alias("_count"))
     return states.crossJoin(F.broadcast(count)).withColumn("turn", F.pmod(F.col("pos") - round_robin, F.col("_count"))).drop("_count")
 
 
-def fair_pass(states: DataFrame, round_robin: int) -> DataFrame:
-    """The sources in the order of one pass, each once."""
-    return in_turn(states, round_robin).orderBy("turn")
-
-
-def counted_read_order(states: DataFrame, round_robin: int, slots: int) -> DataFrame:
-    """``read_order`` with turns among as many sources as there are."""
+def read_order(states: DataFrame, round_robin: int, slots: int) -> DataFrame:
+    """The next sources to read: without a window first, then the emptiest, ties in turn."""
     return in_turn(states, round_robin).orderBy("has_window", "occupancy", "turn").limit(slots)

@@ -34,26 +34,10 @@ def t1(spark, sf_dir):
     return store.reclaimed(d.join(pins, "doc_id", "left"), 500_000, F.coalesce("pin", F.lit(False)), "last_used", "doc_id", "n_chars").select("doc_id", "last_used", "freed_before")
 
 
-@query("t2_read_priority", "select user_id, c as occupancy from (select user_id, count(*) as c, user_id % 2 as has_window from events group by user_id) order by has_window, c, (user_id + 150 - 17) % 150 limit 4")
+@query("t2_read_priority", "with s as (select user_id, count(*) as c, user_id % 2 as has_window from events group by user_id), n as (select count(*) as n from s) select user_id, c as occupancy from s cross join n order by has_window, c, ((user_id - 17) % n + n) % n limit 4")
 def t2(spark, sf_dir):
     s = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("occupancy")).withColumns({"has_window": F.col("user_id") % 2, "pos": F.col("user_id")})
-    return store.read_order(s, 17, 150, 4).select("user_id", "occupancy")
-
-
-@query("t3_fair_pass", "select c_custkey, (c_custkey + 1500 - 7) % 150 as turn from customer")
-def t3(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", ((F.col("c_custkey") + 1500 - 7) % 150).alias("turn"))
-
-
-@query("t2_read_priority_counted", "with s as (select user_id, count(*) as c, user_id % 2 as has_window from events group by user_id), n as (select count(*) as n from s) select user_id, c as occupancy from s cross join n order by has_window, c, ((user_id - 17) % n + n) % n limit 4")
-def t2_counted(spark, sf_dir):
-    s = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("occupancy")).withColumns({"has_window": F.col("user_id") % 2, "pos": F.col("user_id")})
-    return store.counted_read_order(s, 17, 4).select("user_id", "occupancy")
-
-
-@query("t3_fair_pass_counted", "with n as (select count(*) as n from customer) select c_custkey, cast(((c_custkey - 7) % n + n) % n as bigint) as turn from customer cross join n order by turn")
-def t3_counted(spark, sf_dir):
-    return store.fair_pass(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").alias("pos")), 7).select("c_custkey", "turn")
+    return store.read_order(s, 17, 4).select("user_id", "occupancy")
 
 
 @query("t4_sorted_listing", "select c_name, cast(row_number() over (partition by c_nationkey order by c_name) as integer) as place from customer")
@@ -220,7 +204,7 @@ def s15(spark, sf_dir):
     return probes(spark, sf_dir).select("event_id", F.coalesce(packages.stream_info_problem(F.col("data")), F.lit("sound")).alias("verdict"), *(f[n].cast(t).alias(n) for n, t in (("rate", "int"), ("channels", "bigint"), ("depth", "int"), ("samples", "bigint"))))
 
 
-@query("s16_metadata_walk")
+@query("s16_metadata_walk", "select event_id, b.number, b.type, b.length, b.offset, b.final from events, (values (0, 0, 34, 4, false), (1, 4, 5, 42, false), (2, 6, 3, 51, true)) b(number, type, length, \"offset\", final)")
 def s16(spark, sf_dir):
     rest = F.concat(F.lit("04000005"), F.lit("AA" * 5), F.lit("86000003"), F.lit("BB" * 3))
     first = F.concat(F.lit("664C614300000022"), F.lit("00" * 34))

@@ -59,22 +59,10 @@ def byte_at(k: int) -> str:
 
 
 
-def sample_sql(depth: int, k: int) -> str:
-    size = depth // 8
-    v = " + ".join(f"{byte_at(k * size + j)} * {1 << (8 * j)}" for j in range(size))
-    return f"(case when ({v}) >= {1 << (depth - 1)} then ({v}) - {1 << depth} else ({v}) end)::double / {1 << (depth - 1)}"
-
-
 def digests(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.unhex(F.sha2(F.col("event_id").cast("string"), 256)).alias("data"))
 
 
-@query("f4_pcm_samples", "select event_id, " + ", ".join(f"{sample_sql(16, k)} as s16_{k}, {sample_sql(24, k)} as s24_{k}" for k in (0, 1, 7)) + " from events")
-def f4(spark, sf_dir):
-    d = digests(spark, sf_dir).select("event_id", sc.samples(F.col("data"), 16).alias("a"), sc.samples(F.col("data"), 24).alias("b"))
-    return d.select("event_id", *(c for k in (0, 1, 7) for c in (F.col("a")[k].alias(f"s16_{k}"), F.col("b")[k].alias(f"s24_{k}"))))
-
-
 @query("f5_big_endian", f"select event_id, cast('0x' || substr({HEXED}, 1, 4) as bigint) as u16, cast('0x' || substr({HEXED}, 5, 6) as bigint) as u24, cast('0x' || substr({HEXED}, 11, 10) as bigint) as u40 from events")
 def f5(spark, sf_dir):
     return digests(spark, sf_dir).select("event_id", sc.big_endian(F.col("data"), 0, 2).alias("u16"), sc.big_endian(F.col("data"), 2, 3).alias("u24"), sc.big_endian(F.col("data"), 5, 5).alias("u40"))
