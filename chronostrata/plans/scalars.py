@@ -79,15 +79,15 @@ def f7(spark, sf_dir):
 
 
 CODE_LIST = sorted(r[0] for r in catalogue.rows())
-CATALOGUE_SQL = "cat as (select * from (values " + ", ".join(f"('{c}', '{p}', {str(t).lower()})" for c, p, _, t in catalogue.rows()) + ") as c(code, phase, transient))"
+CATALOGUE_SQL = "cat as (select * from (values " + ", ".join(f"('{c}', '{p}', '{}', {})".format(r.replace("'", "''"), str(t).lower(), c=c, p=p) for c, p, r, t in catalogue.rows()) + ") as c(code, phase, remedy, transient))"
 CODES_SQL = "[" + ", ".join(f"'{c}'" for c in CODE_LIST) + "]"
 
 
-@query("f8_error_catalogue", f"with {CATALOGUE_SQL}, f as (select event_id, {CODES_SQL}[1 + event_id % {len(CODE_LIST)}] as code, event_id % 4 = 1 as retryable from events) select event_id, f.code, phase, transient or retryable as transient from f join cat using (code)")
+@query("f8_error_catalogue", f"with {CATALOGUE_SQL}, f as (select event_id, {CODES_SQL}[1 + event_id % {len(CODE_LIST)}] as code, event_id % 4 = 1 as retryable from events) select event_id, f.code, phase, remedy, transient or retryable as transient from f join cat using (code)")
 def f8(spark, sf_dir):
     codes = F.array(*map(F.lit, CODE_LIST))
     f = table(spark, sf_dir, "events").select("event_id", F.get(codes, (F.col("event_id") % len(CODE_LIST)).cast("int")).alias("code"))
-    return catalogue.described(f, "code", F.col("event_id") % 4 == 1).select("event_id", "code", "phase", "transient")
+    return catalogue.described(f, "code", F.col("event_id") % 4 == 1).select("event_id", "code", "phase", "remedy", "transient")
 
 
 @query("f9_retry_backoff", "select event_id, case when event_id % 6 between 1 and 4 then cast(least(100, 5 * pow(2, event_id % 6 - 1)) as bigint) else -1 end as wait_ms from events")

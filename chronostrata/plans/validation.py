@@ -74,9 +74,3 @@ def k1(spark, sf_dir):
     item = F.struct(F.col("start").alias("at"), F.struct("frames", F.col("packed_offset").alias("packedFrameOffset"), F.col("start").alias("startFrame")).alias("item"))
     m = tl.islands(spark, sf_dir).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["item"]).alias("intervals"))  # at most 65,536 intervals an object
     return m.select("user_id", F.sha2(F.encode(sc.canonical_json({"frames": F.lit(tl.HORIZON), "intervals": F.col("intervals")}), "UTF-8"), 256).alias("digest"))
-
-
-@query("s14_finite_extents", "select doc_id, sha256(substr(hex(encode(text)), 101, 400)) as digest, cast(greatest(0, least(200, strlen(text) - 50)) as bigint) as bytes from documents")
-def s14(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").substr(F.lit(51), F.lit(200)).alias("part"))
-    return d.select("doc_id", F.sha2(F.hex("part"), 256).alias("digest"), F.octet_length("part").cast("bigint").alias("bytes"))

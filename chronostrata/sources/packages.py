@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronostrata.functions.scalars import big_endian, little_endian
+from chronostrata.functions.digests import ordered_digests
+from chronostrata.functions.scalars import big_endian, content_length, little_endian
+from chronostrata.operators import intervals as iv
 
 MAGIC = b"MISOSTM1"  # fixed value: the first bytes of a package
 MANIFEST_BYTES = 8 << 20
@@ -108,3 +110,64 @@ def chunked(objects: DataFrame, data: str, width: int) -> DataFrame:
 def located(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """path and length of the files of a folder: contents are not read."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "length")
+
+
+def normalised(document: Column) -> Column:
+    """A document given as bytes or as text, as text; bytes that are no UTF-8 give null."""
+    return F.when(F.is_valid_utf8(document.cast("string")), document.cast("string"))
+
+
+def located_objects(wanted: DataFrame, locators: DataFrame, identity: str) -> DataFrame:
+    """wanted with the path of each object and ``problem``: address for what no locator knows."""
+    paths = locators.groupBy(identity).agg(F.min("path").alias("path"))
+    return wanted.join(paths, identity, "left").withColumn("problem", F.when(F.col("path").isNull(), "stem.delivery.address"))
+
+
+# Fixed value: the most bytes that a reader asks for at once.
+SLOT = 256 << 10
+
+
+def full_response_problem(status: Column, encoding: Column, length: Column, body: Column) -> Column:
+    """Why a response for a whole object is refused: its status, an encoding, a length that is none or not
+    that of the body; null for an exact one."""
+    plain = encoding.isNull() | F.lower(encoding).isin("", "identity")
+    declared = content_length(length)
+    return (
+        F.when(F.coalesce(status != 200, F.lit(True)), "status")
+        .when(~plain, "encoding")
+        .when(length.isNotNull() & declared.isNull(), "length")
+        .when(F.coalesce(declared < body, F.lit(False)), "excess")
+        .when(F.coalesce(declared > body, F.lit(False)), "short")
+    )
+
+
+def sequential_reads(objects: DataFrame, size: str, slot: int = SLOT) -> DataFrame:
+    """The reads of a cursor over whole objects: at, bytes, and whether it is at the end after each."""
+    return iv.tiled(objects, size, slot, "at", "bytes").withColumn("end", F.col("at") + F.col("bytes") == F.col(size))
+
+
+def ranged_reads(objects: DataFrame, key: str, data: str, slot: int = SLOT) -> DataFrame:
+    """The exact ranges that a ranged reader asks for, in order: the probe of 42 bytes, the header of each
+    further metadata block (their contents are skipped), then the audio in slots. phase, first and last byte.
+    Objects whose probe is refused, or without audio, have none beyond what was asked until then."""
+    sound = objects.filter(stream_info_problem(F.substring(F.col(data), 1, 42)).isNull())
+    walked = metadata_walk(sound, key, data)
+    probe = objects.select(key, F.lit("probe").alias("phase"), F.lit(0).cast("bigint").alias("first"), F.lit(41).cast("bigint").alias("last"))
+    headers = walked.filter("number > 0").select(key, F.lit("metadata").alias("phase"), F.col("offset").alias("first"), (F.col("offset") + 3).alias("last"))
+    audio = walked.filter("final").select(key, (F.col("offset") + 4 + F.col("length")).alias("_from")).join(sound.select(key, F.octet_length(data).cast("bigint").alias("_size")), key)
+    audio = iv.tiled(audio.withColumn("_left", F.col("_size") - F.col("_from")), "_left", slot, "_at", "_bytes")
+    return probe.union(headers).union(audio.select(key, F.lit("audio").alias("phase"), (F.col("_from") + F.col("_at")).alias("first"), (F.col("_from") + F.col("_at") + F.col("_bytes") - 1).alias("last")))
+
+
+def finite_extents(pieces: DataFrame, extents: DataFrame, key: str, order: str, data: str) -> DataFrame:
+    """extents (key, bytes, sha256) with ``status`` after their pieces were read one after another, every
+    byte hashed and the rest drained: sound, short (it ended before its extent), excess, digest or missing."""
+    seen = ordered_digests(pieces, key, order, data).select(key, F.col("digest").alias("_digest"), F.col("bytes").alias("_seen"), F.col("pieces").alias("reads"))
+    status = (
+        F.when(F.col("_seen").isNull(), "missing")
+        .when(F.col("_seen") < F.col("bytes"), "short")
+        .when(F.col("_seen") > F.col("bytes"), "excess")
+        .when(F.col("_digest") != F.col("sha256"), "digest")
+        .otherwise("sound")
+    )
+    return extents.join(seen, key, "left").withColumn("status", status).drop("_digest", "_seen")
