@@ -79,7 +79,13 @@ def f7(spark, sf_dir):
 
 
 CODE_LIST = sorted(r[0] for r in catalogue.rows())
-CATALOGUE_SQL = "cat as (select * from (values " + ", ".join(f"('{c}', '{p}', '{}', {})".format(r.replace("'", "''"), str(t).lower(), c=c, p=p) for c, p, r, t in catalogue.rows()) + ") as c(code, phase, remedy, transient))"
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+CATALOGUE_SQL = "cat as (select * from (values " + ", ".join(f"({quoted(c)}, {quoted(p)}, {quoted(r)}, {str(t).lower()})" for c, p, r, t in catalogue.rows()) + ") as c(code, phase, remedy, transient))"
 CODES_SQL = "[" + ", ".join(f"'{c}'" for c in CODE_LIST) + "]"
 
 
