@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronostrata.operators.prefix import previous, running
+
 SAFE = 9007199254740991  # the largest whole number that admitted records may hold
 
 
@@ -19,21 +21,29 @@ def tiles(total: Column, width: Column | int) -> Column:
     return F.when(total > 0, F.sequence(F.lit(0).cast("bigint"), (total - 1).cast("bigint"), width.cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
 
 
-def coalesce_islands(spans: DataFrame, key: str, start: str, length: str) -> DataFrame:
+#: Units of a timeline that are sorted together: spans do not overlap, so a range holds at most so many.
+RANGE = 1 << 16
+
+
+def coalesce_islands(spans: DataFrame, key: str, start: str, length: str, width: int = RANGE) -> DataFrame:
     """Merge touching spans of each key; packed_offset is the exclusive prefix sum of merged lengths.
 
-    Spans of a key must not overlap. Returns key, start, frames, packed_offset.
+    Spans of a key must not overlap. Returns key, start, frames, packed_offset. A key's timeline is cut into
+    ranges of ``width`` units, so that no task sorts a whole key.
     """
-    w = W.partitionBy(key).orderBy("s")
-    marked = spans.select(key, F.col(start).alias("s"), F.col(length).alias("n")).withColumn("fresh", F.when(F.lag(F.col("s") + F.col("n")).over(w) == F.col("s"), 0).otherwise(1))
-    merged = marked.withColumn("island", F.sum("fresh").over(w)).groupBy(key, "island").agg(F.min("s").alias("start"), F.sum("n").alias("frames"))
-    return merged.select(key, "start", "frames", F.coalesce(F.sum("frames").over(before("start", key=key)), F.lit(0)).cast("bigint").alias("packed_offset"))
+    at = [F.floor(F.col("s") / width)]
+    rows = previous(spans.select(key, F.col(start).alias("s"), F.col(length).alias("n")), [key], ["s"], F.col("s") + F.col("n"), at, "_end")
+    fresh = F.when(F.col("_end") == F.col("s"), 0).otherwise(1)
+    merged = running(rows, [key], ["s"], fresh, at, "island", inclusive=True).groupBy(key, "island").agg(F.min("s").alias("start"), F.sum("n").alias("frames"))
+    return running(merged, [key], ["start"], F.col("frames"), [F.floor(F.col("start") / width)], "packed_offset").select(key, "start", "frames", "packed_offset")
 
 
 def pcm_index(intervals: DataFrame, key: str, frame_bytes: Column) -> DataFrame:
     """Intervals as byte runs of a packed payload: byte_offset and the totals of each key."""
     rows = intervals.withColumn("fb", frame_bytes)
-    return rows.select(key, F.col("start").alias("start_frame"), "frames", (F.col("packed_offset") * F.col("fb")).cast("bigint").alias("byte_offset"), (F.sum("frames").over(W.partitionBy(key)) * F.col("fb")).cast("bigint").alias("active_bytes"))
+    totals = intervals.groupBy(F.col(key).alias("_k")).agg(F.sum("frames").alias("_total"))
+    rows = rows.join(totals, rows[key].eqNullSafe(totals["_k"]))
+    return rows.select(key, F.col("start").alias("start_frame"), "frames", (F.col("packed_offset") * F.col("fb")).cast("bigint").alias("byte_offset"), (F.col("_total") * F.col("fb")).cast("bigint").alias("active_bytes"))
 
 
 def gaps(intervals: DataFrame, key: str, keys: DataFrame, horizon: int) -> DataFrame:

@@ -3,29 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronostrata.operators.prefix import running
 
-def running(rows: DataFrame, amount: Column, order: list[Column], width: int, spread: Column, out: str) -> DataFrame:
-    """Exclusive prefix sums of ``amount`` in a global order, without a task that holds all rows.
 
-    ``spread`` is a whole number that does not fall along the order; ranges of ``width`` of it are sorted
-    by a task each and start from the sums of the ranges before. Only the ranges' sums, one row a range,
-    are summed in one task.
-    """
-    rows = rows.withColumn("_bin", F.floor(spread / width))
-    bins = rows.groupBy("_bin").agg(F.sum(amount).alias("_sum"))
-    base = bins.select("_bin", F.coalesce(F.sum("_sum").over(W.orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    own = F.coalesce(F.sum(amount).over(W.partitionBy("_bin").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(base, "_bin").withColumn(out, (F.col("_base") + own).cast("bigint")).drop("_bin", "_base")
-
-
-def reclaimed(entries: DataFrame, need: int, pinned: Column, last_used: str, identity: str, size: str, width: int = 1) -> DataFrame:
-    """The unpinned entries to evict, least recently used first, until ``need`` bytes are free."""
+def reclaimed(entries: DataFrame, need: int, pinned: Column, last_used: str, identity: str, size: str, width: int = 1 << 16) -> DataFrame:
+    """The unpinned entries to evict, least recently used first, until ``need`` bytes are free. A time that
+    many entries share is cut along their identities, which are whole numbers."""
     free = entries.filter(~pinned)
-    out = running(free, F.col(size), [F.col(last_used), F.col(identity)], width, F.col(last_used), "freed_before")
-    return out.filter(F.col("freed_before") < need)
+    ranges = [F.col(last_used), F.floor(F.col(identity) / width)]
+    return running(free, [], [last_used, identity], F.col(size), ranges, "freed_before").filter(F.col("freed_before") < need)
 
 
 def committed(payloads: DataFrame, commits: DataFrame, key: str, generation: str) -> DataFrame:

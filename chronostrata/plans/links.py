@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronostrata.operators import linking
+from chronostrata.operators.prefix import running
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -100,7 +101,7 @@ def j12(spark, sf_dir):
 @query("j13_meter_ids", "with t as (select user_id, row_number() over (order by user_id) - 1 as ordinal from (select distinct user_id from events)), p as (select user_id % 40 as ordinal, max(value) as peak from events group by 1) select t.user_id as track, p.peak from p join t using (ordinal)")
 def j13(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    tracks = e.select("user_id").distinct().withColumn("ordinal", F.row_number().over(W.orderBy("user_id")) - 1)  # a mixer's tracks: a short list
+    tracks = running(e.select("user_id").distinct(), [], ["user_id"], F.lit(1), [F.floor(F.col("user_id") / (1 << 16))], "ordinal")
     peaks = e.groupBy((F.col("user_id") % 40).alias("ordinal")).agg(F.max("value").alias("peak"))
     return peaks.join(tracks, "ordinal").select(F.col("user_id").alias("track"), "peak")
 

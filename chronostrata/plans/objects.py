@@ -123,7 +123,7 @@ def a15(spark, sf_dir):
 @query("a18_descriptor_budget", "with c as (select l_orderkey, count(*) as n from lineitem group by 1), r as (select l_orderkey, cast(sum(512 + 128 * n) over (partition by l_orderkey % 100 order by l_orderkey) as bigint) as charged from c) select l_orderkey, charged, charged <= 65536 as funded from r")
 def a18(spark, sf_dir):
     c = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n")).withColumn("session", F.col("l_orderkey") % 100)
-    return metrics.within_budget(c, "session", ["l_orderkey"], 512 + 128 * F.col("n"), 65536).select("l_orderkey", "charged", "funded")
+    return metrics.within_budget(c, "session", "l_orderkey", 512 + 128 * F.col("n"), 65536).select("l_orderkey", "charged", "funded")
 
 
 @query("a5_sha256", "select doc_id, sha256(text) as digest, cast(strlen(text) as bigint) as bytes from documents")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chronostrata.functions import catalogue
 from chronostrata.functions import scalars as sc
+from chronostrata.operators import metrics
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -180,10 +181,8 @@ def p8(spark, sf_dir):
 
 @query("p10_metadata_budget", "with c as (select c_nationkey, c_custkey, cast(sum(256 + 2 * length(c_name)) over (partition by c_nationkey order by c_custkey) as bigint) as charged from customer) select c_custkey, charged, charged <= 8192 as funded from c")
 def p10(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.sum(256 + 2 * F.length("c_name")).over(W.partitionBy("c_nationkey").orderBy("c_custkey")).alias("charged"))
-    return c.withColumn("funded", F.col("charged") <= 8192)
+    c = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", (256 + 2 * F.length("c_name")).alias("size"))
+    return metrics.within_budget(c, "c_nationkey", "c_custkey", F.col("size"), 8192).select("c_custkey", "charged", "funded")
 
 
 @query("p12_requirements", "select c_custkey, trim(c_mktsegment) <> '' and c_acctbal > 0 as valid from customer")

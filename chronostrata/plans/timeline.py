@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronostrata.operators import intervals as iv
+from chronostrata.operators.prefix import previous, running
 
 FIRST_HOUR, HORIZON = 473_352, 768
 WINDOW, QUANTUM = 100, 16
@@ -130,9 +131,10 @@ def w11(spark, sf_dir):
 
 @query("w12_counter_deltas", PROGRESS_SQL + ", c as (select user_id, event_id, bytes, cast(sum(bytes) over (partition by user_id order by event_id) as bigint) as total from p) select user_id, event_id, total, cast(total - lag(total, 1, 0) over (partition by user_id order by event_id) as bigint) as delta from c")
 def w12(spark, sf_dir):
-    w = W.partitionBy("user_id").orderBy("event_id")
-    c = progress(spark, sf_dir).withColumn("total", F.sum("bytes").over(w))
-    return c.select("user_id", "event_id", "total", (F.col("total") - F.lag("total", 1, 0).over(w)).alias("delta"))
+    at = [F.floor(F.col("event_id") / (1 << 16))]
+    c = running(progress(spark, sf_dir), ["user_id"], ["event_id"], F.col("bytes"), at, "total", inclusive=True)
+    before = previous(c, ["user_id"], ["event_id"], F.col("total"), at, "_before")
+    return before.select("user_id", "event_id", "total", (F.col("total") - F.coalesce("_before", F.lit(0))).alias("delta"))
 
 
 def windows(spark, sf_dir) -> DataFrame:
