@@ -76,6 +76,17 @@ def _hash_of(word: str) -> int:
 LANGUAGES = {k: np.array([_hash_of(w) for w in v.split()], np.uint64) for k, v in FUNCTION_WORDS.items()}
 
 
+def responses(x: np.ndarray, f: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The response of a filter at each row; minus infinity where it would reach into the next text."""
+    z = x @ f[0]
+    for k in range(1, len(f)):
+        z[:-k] += x[k:] @ f[k]
+    ends = np.append(starts[1:], len(x))
+    for k in range(1, len(f)):
+        z[ends - k] = -np.inf
+    return z
+
+
 @dataclass
 class Model:
     embedding: np.ndarray
@@ -88,13 +99,7 @@ class Model:
 
     def pooled(self, x: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The largest response of each filter within each text (before the bias)."""
-        out = []
-        for f in self.filters:
-            z = x @ f[0]
-            for k in range(1, len(f)):
-                z[:-k] += x[k:] @ f[k]
-            out.append(np.maximum.reduceat(z, starts, axis=0))
-        return np.concatenate(out, 1)
+        return np.concatenate([np.maximum.reduceat(responses(x, f, starts), starts, axis=0) for f in self.filters], 1)
 
     def raw(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
         x = self.embedding[ids[:, 0]]
@@ -159,9 +164,7 @@ def fit(texts: Sequence[bytes], y: np.ndarray, weight: np.ndarray, seed: int = 7
             x = model.embedding[own].sum(1)
             tops, places = [], []
             for f in model.filters:
-                z = x @ f[0]
-                for k in range(1, len(f)):
-                    z[:-k] += x[k:] @ f[k]
+                z = responses(x, f, starts[:-1])
                 top = np.array([z[a:b].argmax(0) + a for a, b in zip(starts[:-1], starts[1:])])
                 places.append(top)
                 tops.append(np.take_along_axis(z, top, 0))
