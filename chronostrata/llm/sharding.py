@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronostrata.llm.lineage import cut
+from chronostrata.llm.mixing import dealt
 
 SHARDS = 8
 #: Rows that one task numbers.
@@ -41,33 +42,36 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     return (-best["s"]).cast("int")
 
 
-def numbered(rows: DataFrame, shard: str, spread: Column, order: list[Column], range_rows: int = RANGE_ROWS) -> DataFrame:
-    """rows with ``slot``: 0, 1, 2, ... within each shard, in ranges of the hash ``spread``."""
-    ranges = max(1, -(-rows.count() // range_rows))
+def numbered(rows: DataFrame, shard: str, spread: Column, order: list[Column], range_rows: int = RANGE_ROWS, copies: str | None = None) -> DataFrame:
+    """rows with ``slot``: 0, 1, 2, ... within each shard, in ranges of the hash ``spread``. With ``copies``
+    a row stands for so many, and its slot is the first of theirs."""
+    n = F.col(copies) if copies else F.lit(1)
+    ranges = max(1, -(-(rows.agg(F.sum(n)).first()[0] or 0) // range_rows))
     rows = rows.withColumn("_range", F.pmod(spread, F.lit(ranges)))
-    counts = rows.groupBy(shard, "_range").agg(F.count("*").alias("_rows"))
+    counts = rows.groupBy(shard, "_range").agg(F.sum(n).alias("_rows"))
     before = counts.select(shard, "_range", F.coalesce(F.sum("_rows").over(W.partitionBy(shard).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     # One row of ``before`` for each shard and range: its size follows from RANGE_ROWS.
     placed = rows.join(before, [shard, "_range"])
-    return placed.withColumn("slot", F.col("_before") + F.row_number().over(W.partitionBy(shard, "_range").orderBy(*order)) - 1).drop("_range", "_before")
+    ahead = F.sum(n).over(W.partitionBy(shard, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    return placed.withColumn("slot", F.col("_before") + F.coalesce(ahead, F.lit(0))).drop("_range", "_before")
 
 
-def shard_documents(docs: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS, grown_weight: float = 1.0) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard (with one more shard of grown_weight)."""
+def shard_documents(docs: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS, grown_weight: float = 1.0, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard (with one more shard of grown_weight).
+
+    Rows of equal id and text are counted into one first, so no range grows with their number; they are
+    dealt out again with neighbouring slots.
+    """
     data = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
+    told = docs.select("doc_id", (F.octet_length(data) + 1).cast("bigint").alias("size"), F.crc32(data).alias("text_crc32"))
     rows = cut(
-        docs.select(
-            "doc_id",
-            (F.octet_length(data) + 1).cast("bigint").alias("size"),
-            F.crc32(data).alias("text_crc32"),
-            F.lit("key").alias("law"),
-            rendezvous(F.col("doc_id"), weights).alias("shard"),
-            rendezvous(F.col("doc_id"), [*weights, grown_weight]).alias("grown_shard"),
-        )
+        told.groupBy("doc_id", "size", "text_crc32")
+        .agg(F.count("*").alias("_copies"))
+        .select("*", F.lit("key").alias("law"), rendezvous(F.col("doc_id"), weights).alias("shard"), rendezvous(F.col("doc_id"), [*weights, grown_weight]).alias("grown_shard"))
     )
     spread = F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_crc32").cast("string"))), 1, 8), 16, 10).cast("bigint")
-    out = numbered(rows, "shard", spread, [F.col("doc_id"), F.col("text_crc32"), F.col("size")])
-    return out.select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("bigint").alias("slot"), "grown_shard")
+    out = dealt(numbered(rows, "shard", spread, [F.col("doc_id"), F.col("text_crc32"), F.col("size")], range_rows, "_copies"), "_copies", "_copy")
+    return out.select("doc_id", "size", "text_crc32", "law", "shard", (F.col("slot") + F.col("_copy")).cast("bigint").alias("slot"), "grown_shard")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
