@@ -159,6 +159,87 @@ def test_jaccard_join(docs):
     assert got == Counter((d, len(x), None if d is None else label[d]) for d, x in sets)
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_words_that_a_sum_of_powers_cannot_tell_apart(spark):
+    for n in (64, 1024, 2048, 4096):
+        a = thue_morse(n)
+        b = a.translate(str.maketrans("ab", "ba"))
+        x, y = ("one two three four " + w + " six seven eight nine ten" for w in (a, b))
+        (p,), (q,) = jaccard_join.W.shingle_sets([x.encode()]), jaccard_join.W.shingle_sets([y.encode()])
+        assert len(np.intersect1d(p, q)) == 1  # the shingle of the last five words
+    df = spark.createDataFrame([(1, x), (2, y)], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in jaccard_join.near_duplicates(df).collect()} == {(1, 1), (2, 2)}
+
+
+def linked_by_brute_force(texts, percent=75):
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, w in ((d, t.split()) for d, t in texts)}
+    label = {d: d for d in sets}
+    where = defaultdict(set)
+    for d, x in sets.items():
+        for s in x:
+            where[s].add(d)
+    pairs = {(a, b) for ids in where.values() if len(ids) < 500 for a in ids for b in ids if a < b}
+
+    def root(d):
+        while label[d] != d:
+            d = label[d]
+        return d
+
+    for a, b in pairs:
+        n = len(sets[a] & sets[b])
+        if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
+            x, y = root(a), root(b)
+            label[max(x, y)] = min(x, y)
+    return {(d, root(d)) for d in sets}
+
+
+def test_near_copies_around_the_line(spark):
+    import random
+
+    random.seed(12)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    base = [[random.choice(vocabulary) for _ in range(random.randint(20, 90))] for _ in range(60)]
+    texts = []
+    for k in range(500):
+        words_ = list(random.choice(base))
+        for _ in range(random.randint(0, 4)):
+            i = random.randrange(len(words_))
+            words_[i : i + random.randint(0, 2)] = [random.choice(vocabulary) for _ in range(random.randint(0, 2))]
+        texts.append((k, " ".join(words_)))
+    got = jaccard_join.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == linked_by_brute_force(texts)
+
+
+def test_a_passage_that_many_share_costs_few_comparisons(spark, monkeypatch):
+    """Half of each text is one passage that all 5,000 have: few pairs are verified, and the links are right."""
+    import random
+
+    random.seed(5)
+    passage = " ".join(f"p{k}" for k in range(30))
+    texts = [(k, " ".join(f"u{random.randrange(10**9)}" for _ in range(20)) + " " + passage) for k in range(5000)]
+    texts += [(5000 + k, texts[7 * k][1] + " end") for k in range(40)]
+    seen = []
+    original = jaccard_join.compared
+
+    def counted(pairs, sets, percent):
+        seen.append(pairs.count())
+        return original(pairs, sets, percent)
+
+    monkeypatch.setattr(jaccard_join, "compared", counted)
+    got = jaccard_join.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(k, k) for k, _ in texts if k < 5000} | {(5000 + k, 7 * k) for k in range(40)}
+    assert sum(seen) <= 4 * len(texts)
+
+
+def test_demand_prunes_before_sets_are_read(spark):
+    sets = spark.createDataFrame([(1, 3, [1, 2, 3, 4]), (2, 2, [3, 4, 5]), (3, 2, [4, 6, 7]), (4, 1, [7])], "d long, demand int, tokens array<long>")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (3, 4)], "a long, b long")
+    assert {tuple(r) for r in jaccard_join.demanded(pairs, sets).collect()} == {(1, 2), (3, 4)}
+
+
 def test_one_of_each(docs):
     out = jaccard_join.one_of_each(docs)
     assert out.columns == docs.columns
@@ -218,6 +299,19 @@ def test_sharding(docs):
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
 
 
+@pytest.mark.parametrize("run, range_rows", [(mixing.RUN, sharding.RANGE_ROWS), (10, 7)])
+def test_slots_of_many_copies(spark, run, range_rows, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN", run)
+    data = [(5, "same")] * 137 + [(None, "no id")] * 61 + [(k, None) for k in range(90)] + [(5, "other")] * 3
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    out = sharding.shard_documents(df, range_rows=range_rows).collect()
+    assert Counter((r["doc_id"], r["size"]) for r in out) == Counter((d, len(t or "") + 1) for d, t in data)
+    slots = defaultdict(list)
+    for r in out:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
 def test_weighted_shards(spark):
     ids = spark.range(20000)
     from pyspark.sql import functions as F
@@ -243,6 +337,67 @@ def test_classifiers_without_labels(spark, docs):
     assert toxicity.drop_toxic(docs, model).columns == docs.columns
 
 
+def labelled_texts():
+    good = [f"the river runs by stone number {k} and light falls on it in the morning of day {k * 7}" for k in range(60)]
+    bad = [f"you vile zorg {k} get lost zorg idiot filth number {k * 3}" for k in range(60)]
+    return [(1000 + k, t, int(k % 2)) for k, t in enumerate(x for pair in zip(good, bad) for x in pair)]
+
+
+@pytest.fixture(scope="module")
+def fitted(spark):
+    rows_ = labelled_texts()
+    df = spark.createDataFrame([(d, t) for d, t, _ in rows_], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, 1 - y, y) for d, _, y in rows_], "doc_id long, quality int, toxic int")
+    return toxicity.train(df, labels), quality_classifier.train(df, labels)
+
+
+def test_fitted_classifiers_on_odd_rows(spark, docs, fitted):
+    for module, model in zip((toxicity, quality_classifier), fitted):
+        out = module.scored(docs, model).collect()
+        assert Counter(r["doc_id"] for r in out) == Counter(d for d, *_ in rows())
+        assert all(0 <= r["score"] <= 1 for r in out)
+        by_text = defaultdict(set)
+        for r in out:
+            by_text[r["text"] or ""].add(r["score"])
+        assert all(max(v) - min(v) < 1e-5 for v in by_text.values())  # sums of floats depend on the batch
+        assert module.scored(empty(spark), model).count() == 0
+    kept = toxicity.drop_toxic(docs.withColumn("_toxicity", docs["lang"]).withColumn("__Toxicity", docs["source"]), fitted[0])
+    assert kept.columns[-2:] == ["_toxicity", "__Toxicity"] and all(r["_toxicity"] == r["lang"] and r["__Toxicity"] == r["source"] for r in kept.collect())
+
+
+def test_forward_pass_of_the_convolution(fitted):
+    """Each text by itself, word by word, from the definition."""
+    model = fitted[0]
+    texts = [t.encode() for _, t, _ in labelled_texts()[:20]] + [b"", b"zorg", b"one two", b"x" * 300 + b" you zorg"]
+    ids, at, _ = toxicity.features(texts)
+    got = model.raw(ids, at[:-1])
+    for k in range(len(texts)):
+        rows_ = [sum(model.embedding[i].astype(float) for i in ids[r]) for r in range(at[k], at[k + 1])]
+        pooled = []
+        for f in model.filters:
+            for c in range(f.shape[2]):
+                starts = range(len(rows_) - len(f) + 1)
+                best = max((sum(float(rows_[r + s] @ f[s][:, c]) for s in range(len(f))) for r in starts), default=-np.inf)
+                pooled.append(best)
+        h = np.maximum(np.array(pooled) + model.bias, 0)
+        want = 1 / (1 + np.exp(-(h @ model.out + model.constant)))
+        assert abs(got[k] - want) < 1e-3
+
+
+def test_trees_are_walked_as_they_say(fitted):
+    forest = fitted[1]
+    x = quality_classifier.statistics([t.encode() for _, t, _ in labelled_texts()])
+    inner = forest.feature.shape[1]
+    for row, got in zip(x, forest.raw(x)):
+        total = forest.base
+        for f, t, v in zip(forest.feature, forest.threshold, forest.value):
+            at = 0
+            while at < inner:
+                at = 2 * at + (2 if row[f[at]] > t[at] else 1)
+            total += v[at - inner]
+        assert abs(total - got) < 1e-9
+
+
 @pytest.mark.parametrize(
     "run",
     [

@@ -45,3 +45,12 @@ def test_scores_beyond_doubles_are_exact():
     q, c = np.array([[2.0**30, 3.0]]), np.array([[2.0**25 + 1, 5.0]])
     assert topk.products(q, c)[0, 0] == 2**30 * (2**25 + 1) + 15
     assert topk.products(q * 2**20, c * 2**20)[0, 0] == topk.MOST
+
+
+def test_further_columns_are_left_alone(spark):
+    df = spark.createDataFrame(CASES["ties"], "vec_id long, embedding array<double>").repartition(3)
+    from pyspark.sql import functions as F
+
+    for name in ("score", "rank", "query_id", "bin", "chunk", "n", "low", "high", "key"):
+        df = df.withColumn(name, F.lit("clash"))
+    assert sorted(tuple(r)[:4] for r in topk.top_k(df.filter("vec_id % 50 = 0"), df).select("query_id", "rank", "vec_id", "score").collect()) == brute(CASES["ties"])
