@@ -66,30 +66,40 @@ def _chunks_problem(m: Column) -> Column:
     return F.aggregate(m["chunks"], start, step)
 
 
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def manifest_problem(text: Column, payload_bytes: Column | None = None) -> Column:
     """The first broken rule of a manifest; ``payload_bytes``, where known, must end with the last chunk."""
-    m = F.from_json(text, SCHEMA)
-    canonical = F.to_json(m, {"ignoreNullFields": "false"})
-    intervals, chunks = _intervals_problem(m), _chunks_problem(m)
-    payload = F.coalesce(payload_bytes, chunks["offset"]) if payload_bytes is not None else chunks["offset"]
-    return (
-        F.when(F.try_parse_json(text).isNull(), "json")
-        .when(~F.coalesce(recursive_json(text) == canonical, F.lit(False)), "shape")
-        .when(m["format"] != FORMAT, "format")
-        .when(F.size(m["intervals"]) > MOST_LIST, "intervals")
-        .when(F.size(m["chunks"]) > MOST_LIST, "chunks")
-        .when(~m["sampleRateHz"].isin(*RATES), "rate")
-        .when(~m["channels"].isin(*CHANNELS), "channels")
-        .when(~m["bitDepth"].isin(*DEPTHS), "depth")
-        .when(~_integer(m["frames"], 1) | (m["frames"] > F.floor(F.lit(SAFE) / (m["channels"] * m["bitDepth"] / 8))), "frames")
-        .when(~is_identity(m["identity"]), "identity")
-        .when(intervals["bad"].isNotNull(), intervals["bad"])
-        .when(chunks["bad"].isNotNull(), chunks["bad"])
-        .when(chunks["frame"] != intervals["packed"], "endpoint")
-        .when(payload != chunks["offset"], "payload")
-        .when(F.octet_length(canonical) > MOST_MANIFEST_BYTES, "size")
-        .when(F.octet_length(canonical) + HEADER_BYTES + payload > MOST_OBJECT_BYTES, "object")
-    )
+
+    def folded(m: Column) -> Column:
+        folds = F.struct(F.to_json(m, {"ignoreNullFields": "false"}).alias("canonical"), _intervals_problem(m).alias("intervals"), _chunks_problem(m).alias("chunks"))
+        return _once(folds, lambda x: problem(m, x["canonical"], x["intervals"], x["chunks"]))
+
+    def problem(m: Column, canonical: Column, intervals: Column, chunks: Column) -> Column:
+        payload = F.coalesce(payload_bytes, chunks["offset"]) if payload_bytes is not None else chunks["offset"]
+        return (
+            F.when(F.try_parse_json(text).isNull(), "json")
+            .when(~F.coalesce(recursive_json(text) == canonical, F.lit(False)), "shape")
+            .when(m["format"] != FORMAT, "format")
+            .when(F.size(m["intervals"]) > MOST_LIST, "intervals")
+            .when(F.size(m["chunks"]) > MOST_LIST, "chunks")
+            .when(~m["sampleRateHz"].isin(*RATES), "rate")
+            .when(~m["channels"].isin(*CHANNELS), "channels")
+            .when(~m["bitDepth"].isin(*DEPTHS), "depth")
+            .when(~_integer(m["frames"], 1) | (m["frames"] > F.floor(F.lit(SAFE) / (m["channels"] * m["bitDepth"] / 8))), "frames")
+            .when(~is_identity(m["identity"]), "identity")
+            .when(intervals["bad"].isNotNull(), intervals["bad"])
+            .when(chunks["bad"].isNotNull(), chunks["bad"])
+            .when(chunks["frame"] != intervals["packed"], "endpoint")
+            .when(payload != chunks["offset"], "payload")
+            .when(F.octet_length(canonical) > MOST_MANIFEST_BYTES, "size")
+            .when(F.octet_length(canonical) + HEADER_BYTES + payload > MOST_OBJECT_BYTES, "object")
+        )
+
+    return _once(F.from_json(text, SCHEMA), folded)
 
 
 def manifest_bytes_problem(data: Column, payload_bytes: Column | None = None) -> Column:
