@@ -76,3 +76,36 @@ def window_at(spark, sf_dir):
 )
 def observed(spark, sf_dir):
     return opened(spark, sf_dir).samples("s1", 30, 300)
+
+
+REQUESTS_SQL = "q as (select user_id, event_id, 300 + event_id % 400 as d, row_number() over (partition by user_id order by event_id) as k from events)"
+
+
+def requests(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("user_id", F.col("event_id").cast("bigint").alias("event_id"), (F.col("event_id") % 400 + 300).cast("bigint").alias("d"))
+
+
+@query(
+    "c1_fifo_admission",
+    f"""with recursive {REQUESTS_SQL}, r(user_id, k, event_id, a, b, waiting, status, started) as (
+      select distinct user_id, 0::bigint, 0::bigint, 0::bigint, 0::bigint, []::bigint[], '', 0::bigint from q
+      union all
+      select q.user_id, q.k, q.event_id, case when full_ then r.a else least(r.b, s + q.d) end, case when full_ then r.b else greatest(r.b, s + q.d) end,
+        case when not full_ and s > q.event_id then list_append(live, s) else live end, case when full_ then 'refused' else 'admitted' end, case when not full_ then s end
+      from r join q on q.user_id = r.user_id and q.k = r.k + 1, lateral (select list_filter(r.waiting, lambda x: x > q.event_id) as live, greatest(q.event_id, r.a) as s), lateral (select len(live) >= 2 as full_))
+    select user_id, event_id, status, cast(started as bigint) as started from r where k > 0""",
+)
+def c1(spark, sf_dir):
+    return control.admitted(requests(spark, sf_dir), "user_id", "event_id", "d", 2, 2).select("user_id", "event_id", "status", "started")
+
+
+@query(
+    "c7_single_flight",
+    f"""with recursive {REQUESTS_SQL}, r(user_id, k, event_id, loads, settled) as (
+      select user_id, k, event_id, true, cast(event_id + d as bigint) from q where k = 1
+      union all
+      select q.user_id, q.k, q.event_id, q.event_id >= r.settled, cast(case when q.event_id >= r.settled then q.event_id + q.d else r.settled end as bigint) from r join q on q.user_id = r.user_id and q.k = r.k + 1)
+    select user_id, event_id, loads, settled from r""",
+)
+def c7(spark, sf_dir):
+    return control.single_flight(requests(spark, sf_dir), "user_id", "event_id", "d").select("user_id", "event_id", "loads", "settled")
