@@ -41,7 +41,7 @@ def submitted(edits: DataFrame, batch: str, position: str, refused: Column) -> D
     return edits.groupBy(batch).agg(first.isNull().alias("ok"), F.coalesce(first, F.lit(0)).alias("rejected_index"), F.when(first.isNull(), F.count("*")).otherwise(0).alias("admitted"))
 
 
-def _replayed(rows: DataFrame, key: str, order: str, added: str, new: Callable) -> DataFrame:
+def replayed(rows: DataFrame, key: str, order: str, added: str, new: Callable) -> DataFrame:
     """rows of each key in order through a state of a few numbers; ``new()`` makes the function that takes a
     row, as a tuple of the columns' values, and gives those of ``added``."""
     columns = rows.columns
@@ -83,7 +83,7 @@ def admitted(requests: DataFrame, pool: str, arrival: str, duration: str, width:
 
         return take
 
-    return _replayed(requests, pool, arrival, "status string, started long", new)
+    return replayed(requests, pool, arrival, "status string, started long", new)
 
 
 def single_flight(requests: DataFrame, key: str, arrival: str, duration: str) -> DataFrame:
@@ -102,4 +102,4 @@ def single_flight(requests: DataFrame, key: str, arrival: str, duration: str) ->
 
         return take
 
-    return _replayed(requests, key, arrival, "loads boolean, settled long", new)
+    return replayed(requests, key, arrival, "loads boolean, settled long", new)

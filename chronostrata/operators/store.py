@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronostrata.operators.control import replayed
 from chronostrata.operators.prefix import running
 
 
@@ -53,3 +54,21 @@ def in_turn(states: DataFrame, round_robin: int) -> DataFrame:
 def read_order(states: DataFrame, round_robin: int, slots: int) -> DataFrame:
     """The next sources to read: without a window first, then the emptiest, ties in turn."""
     return in_turn(states, round_robin).orderBy("has_window", "occupancy", "turn").limit(slots)
+
+
+def within_quota(writes: DataFrame, backend: str, order: str, size: str, quota: int) -> DataFrame:
+    """writes with ``status`` and ``usage`` after each: one that would pass the quota of its backend is
+    refused and takes no room, so later and smaller ones may still be stored."""
+    at = writes.columns.index(size)
+
+    def new():
+        usage = [0]
+
+        def take(row: tuple) -> tuple:
+            if fits := usage[0] + row[at] <= quota:
+                usage[0] += int(row[at])
+            return "stored" if fits else "stem.quota", usage[0]
+
+        return take
+
+    return replayed(writes, backend, order, "status string, usage long", new)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronostrata.functions.digests import blake3_hex, ordered_digests
-from chronostrata.operators import ingest
+from chronostrata.operators import ingest, store
 from chronostrata.sources import packages
 
 QUERIES: dict = {}
@@ -144,3 +144,17 @@ def u5(spark, sf_dir):
     d = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.sha2("text", 256).alias("digest"), F.octet_length("text").alias("size"))
     classes = d.groupBy("digest", "size").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members"))
     return d.join(classes, ["digest", "size"]).select("doc_id", "class_id", "members")
+
+
+@query(
+    "s12_quota_writes",
+    f"""with recursive q as (select source, doc_id, cast({SIZE_SQL} as bigint) as size, row_number() over (partition by source order by doc_id) as k from documents where source is not null),
+    r(source, k, doc_id, status, usage) as (
+      select distinct source, 0::bigint, 0::bigint, '', 0::bigint from q
+      union all
+      select q.source, q.k, q.doc_id, case when r.usage + q.size <= 100000 then 'stored' else 'stem.quota' end, case when r.usage + q.size <= 100000 then r.usage + q.size else r.usage end from r join q on q.source = r.source and q.k = r.k + 1)
+    select doc_id, status, usage from r where k > 0""",
+)
+def s12(spark, sf_dir):
+    w = table(spark, sf_dir, "documents").filter("source is not null").select("source", F.col("doc_id").cast("bigint").alias("doc_id"), F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("size"))
+    return store.within_quota(w, "source", "doc_id", "size", 100_000).select("doc_id", "status", "usage")
