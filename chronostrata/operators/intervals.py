@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronostrata.operators.prefix import previous, running
+from chronostrata.operators.prefix import with_base
 
 SAFE = 9007199254740991  # the largest whole number that admitted records may hold
 
@@ -31,11 +31,20 @@ def coalesce_islands(spans: DataFrame, key: str, start: str, length: str, width:
     Spans of a key must not overlap. Returns key, start, frames, packed_offset. A key's timeline is cut into
     ranges of ``width`` units, so that no task sorts a whole key.
     """
-    at = [F.floor(F.col("s") / width)]
-    rows = previous(spans.select(key, F.col(start).alias("s"), F.col(length).alias("n")), [key], ["s"], F.col("s") + F.col("n"), at, "_end")
-    fresh = F.when(F.col("_end") == F.col("s"), 0).otherwise(1)
-    merged = running(rows, [key], ["s"], fresh, at, "island", inclusive=True).groupBy(key, "island").agg(F.min("s").alias("start"), F.sum("n").alias("frames"))
-    return running(merged, [key], ["start"], F.col("frames"), [F.floor(F.col("start") / width)], "packed_offset").select(key, "start", "frames", "packed_offset")
+    rows = spans.select(key, F.col(start).alias("s"), F.col(length).alias("n")).withColumn("_range", F.floor(F.col("s") / width))
+    own = W.partitionBy(key, "_range").orderBy("s")
+    end = F.col("s") + F.col("n")
+    # Whether the first span of a range begins an island, the ranges tell below.
+    rows = rows.withColumn("_fresh", F.coalesce((F.lag(end).over(own) != F.col("s")).cast("int"), F.lit(0)))
+    rows = rows.withColumn("_island", F.sum("_fresh").over(own.rowsBetween(W.unboundedPreceding, 0))).withColumn("_packed", F.coalesce(F.sum("n").over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    ranges = rows.groupBy(key, "_range").agg(F.min("s").alias("first"), F.max(end).alias("last"), F.sum("_fresh").alias("fresh"), F.sum("n").alias("total"))
+    over = W.partitionBy(key).orderBy("_range")
+    past = over.rowsBetween(W.unboundedPreceding, -1)
+    ranges = ranges.withColumn("_begins", F.when(F.lag("last").over(over) == F.col("first"), 0).otherwise(1))
+    islands = F.sum("_begins").over(over.rowsBetween(W.unboundedPreceding, 0)) + F.coalesce(F.sum("fresh").over(past), F.lit(0))
+    base = ranges.select(key, "_range", islands.alias("_islands"), F.coalesce(F.sum("total").over(past), F.lit(0)).alias("_before"))
+    merged = with_base(rows, base, [key, "_range"]).groupBy(key, (F.col("_islands") + F.col("_island")).alias("_i")).agg(F.min("s").alias("start"), F.sum("n").alias("frames"), F.min(F.col("_before") + F.col("_packed")).cast("bigint").alias("packed_offset"))
+    return merged.select(key, "start", "frames", "packed_offset")
 
 
 def pcm_index(intervals: DataFrame, key: str, frame_bytes: Column) -> DataFrame:

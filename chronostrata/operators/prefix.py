@@ -20,7 +20,7 @@ def _ranged(rows: DataFrame, keys: Sequence[str], ranges: Sequence[Column]) -> t
     return rows.withColumns(dict(zip(names, ranges))), names, over
 
 
-def _with_base(rows: DataFrame, base: DataFrame, on: list[str]) -> DataFrame:
+def with_base(rows: DataFrame, base: DataFrame, on: list[str]) -> DataFrame:
     """rows with the columns of their range; null keys meet as well."""
     there = base.select(*(F.col(c).alias(f"_of_{c}") for c in on), *(c for c in base.columns if c not in on))
     met = F.lit(True)
@@ -36,7 +36,7 @@ def running(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
     sums = rows.groupBy(*on).agg(F.sum(amount).alias("_sum"))
     base = sums.select(*on, F.coalesce(F.sum("_sum").over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     own = F.sum(amount).over(W.partitionBy(*on).orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1))
-    done = _with_base(rows.withColumn("_own", F.coalesce(own, F.lit(0))), base, on)
+    done = with_base(rows.withColumn("_own", F.coalesce(own, F.lit(0))), base, on)
     return done.withColumn(out, (F.col("_base") + F.col("_own")).cast("bigint")).drop("_base", "_own", *names)
 
 
@@ -47,5 +47,5 @@ def previous(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
     last = rows.groupBy(*on).agg(F.max_by(value, F.struct(*order)).alias("_last"))
     base = last.select(*on, F.lag("_last").over(over).alias("_carried"))
     own = W.partitionBy(*on).orderBy(*order)
-    done = _with_base(rows.withColumns({"_value": F.lag(value).over(own), "_first": F.row_number().over(own) == 1}), base, on)
+    done = with_base(rows.withColumns({"_value": F.lag(value).over(own), "_first": F.row_number().over(own) == 1}), base, on)
     return done.withColumn(out, F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_value"))).drop("_value", "_first", "_carried", *names)
