@@ -75,7 +75,10 @@ def manifest_problem(text: Column, payload_bytes: Column | None = None) -> Colum
     """The first broken rule of a manifest; ``payload_bytes``, where known, must end with the last chunk."""
 
     def folded(m: Column) -> Column:
-        folds = F.struct(F.to_json(m, {"ignoreNullFields": "false"}).alias("canonical"), _intervals_problem(m).alias("intervals"), _chunks_problem(m).alias("chunks"))
+        # Written with its nulls a record shows what is missing, written without them what is null.
+        holes = F.exists(m["intervals"], lambda x: x.isNull()) | F.exists(m["chunks"], lambda x: x.isNull())
+        exact = F.when(~F.coalesce(holes, F.lit(True)) & (F.to_json(m, {"ignoreNullFields": "false"}) == F.to_json(m)), F.to_json(m))
+        folds = F.struct(exact.alias("canonical"), _intervals_problem(m).alias("intervals"), _chunks_problem(m).alias("chunks"))
         return _once(folds, lambda x: problem(m, x["canonical"], x["intervals"], x["chunks"]))
 
     def problem(m: Column, canonical: Column, intervals: Column, chunks: Column) -> Column:
