@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronostrata.llm.lineage import cut, ship
+from chronostrata.llm.lineage import cut, few, ship
 
 TASK_LINKS = 1_000_000
 
@@ -24,15 +24,15 @@ def components(links: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
     contracts the links; those within a component vanish. Rounds and doublings are logarithmic.
     """
     ship(links.sparkSession)
-    links = cut(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    links = cut(few(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
     labels = None
     while links.count() > task_links:
         both = links.union(links.select("b", "a"))
-        hooks = followed(cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node")))
+        hooks = followed(cut(few(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))))
         labels = hooks if labels is None else relabelled(labels, hooks)
         left, right = hooks.select(F.col("node").alias("a"), F.col("label").alias("la")), hooks.select(F.col("node").alias("b"), F.col("label").alias("lb"))
         moved = links.join(left, "a").join(right, "b").filter("la <> lb")
-        links = cut(moved.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct())
+        links = cut(few(moved.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()))
     last = cut(links.coalesce(1).mapInArrow(united, "node long, label long"))
     return last if labels is None else relabelled(labels, last)
 
@@ -40,7 +40,7 @@ def components(links: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
 def relabelled(labels: DataFrame, hooks: DataFrame) -> DataFrame:
     """labels whose labels follow the hooks, and the hooks of nodes that were not among them."""
     moved = labels.join(hooks.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-    return cut(moved.union(hooks.join(labels.select("node"), "node", "left_anti").select("node", "label")))
+    return cut(few(moved.union(hooks.join(labels.select("node"), "node", "left_anti").select("node", "label"))))
 
 
 def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,7 +65,7 @@ def followed(hooks: DataFrame) -> DataFrame:
     """node, label with every label followed to the end of its chain (labels only lead downwards)."""
     while True:
         further = hooks.select(F.col("node").alias("label"), F.col("label").alias("to")).filter("label <> to")
-        doubled = cut(hooks.join(further, "label", "left").select("node", F.coalesce("to", "label").alias("label"), F.col("to").isNotNull().alias("moved")))
+        doubled = cut(few(hooks.join(further, "label", "left").select("node", F.coalesce("to", "label").alias("label"), F.col("to").isNotNull().alias("moved"))))
         hooks = doubled.select("node", "label")
         if doubled.filter("moved").isEmpty():
             return hooks

@@ -38,7 +38,7 @@ from chronostrata.llm import blocks as B
 from chronostrata.llm import words as W
 from chronostrata.llm import workers
 from chronostrata.llm.components import components
-from chronostrata.llm.lineage import cut, cut_large, ship
+from chronostrata.llm.lineage import cut, cut_large, few, ship
 
 SHINGLE, PERCENT = 5, 75
 #: Demands that a document may choose from, and what a comparison costs beside a look at a list entry.
@@ -146,8 +146,8 @@ def described(table: DataFrame, percent: int) -> DataFrame:
 
     ship(table.sparkSession)
     cells = table.mapInArrow(ask, "part int, block long, keys binary, counts binary")
-    replies = cut_large(cells.groupBy("part").applyInArrow(reply, "block long, part int, reply binary"))
-    return cut_large(B.answered(table, replies).select("block", "payload", "replies").mapInArrow(describe, "block long, place long, doc_id long, n long, digest binary, shared long, demand int, tokens array<long>, own binary"))
+    replies = cut_large(few(cells.groupBy("part").applyInArrow(reply, "block long, part int, reply binary")))
+    return cut_large(few(B.answered(table, replies).select("block", "payload", "replies").mapInArrow(describe, "block long, place long, doc_id long, n long, digest binary, shared long, demand int, tokens array<long>, own binary")))
 
 
 def demanded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -199,17 +199,17 @@ def links(found: DataFrame, percent: int) -> DataFrame:
     # Two sets of sizes n and m need an overlap of p / (100 + p) * (n + m), which neither's shared
     # shingles may fall short of: partners of n have at most ``reach`` shingles.
     reach = F.expr(f"cast(floor(shared * {100 + percent} / {percent}) as bigint) - n").alias("reach")
-    entries = cut(named.select("d", "n", reach, (F.col("shared") / F.col("n")).alias("central"), F.explode("tokens").alias("token")))
+    entries = cut(few(named.select("d", "n", reach, (F.col("shared") / F.col("n")).alias("central"), F.explode("tokens").alias("token"))))
     lists = entries.groupBy("token").agg(F.count("*").alias("size"), F.min("n").alias("least"), F.max(F.struct("central", -F.col("d"), F.col("d").alias("d"))).alias("hub"))
     lists = lists.filter("size > 1").select("token", "least", F.col("hub.d").alias("hub"))
     star = entries.join(lists, "token").filter("reach >= least and d <> hub").select(F.col("d").alias("a"), F.col("hub").alias("b"), "reach").distinct()
-    seen = cut(compared(star.select("a", "b"), sets, percent).join(star, ["a", "b"]))
+    seen = cut(few(compared(star.select("a", "b"), sets, percent).join(star, ["a", "b"])))
     first = seen.filter("linked").select("a", "b")
     labels = components(first)
     known = seen.join(labels.select(F.col("node").alias("a"), "label"), "a", "left").select(F.col("a").alias("d"), F.col("b").alias("hub"), F.col("na").alias("n"), "both", "reach", "rest", F.coalesce("label", "a").alias("label"))
     counts = known.groupBy("hub", "label").agg(F.count("*").alias("rows"), F.min("n").alias("n"))
     hubs = counts.groupBy("hub").agg(F.max_by("label", F.struct("rows", "label")).alias("main"), F.count("*").alias("labels"), F.min("n").alias("least")).filter("labels > 1").drop("labels")
-    known = cut(known.join(hubs, "hub"))
+    known = cut(few(known.join(hubs, "hub")))
     may = (F.col("x.label") != F.col("y.label")) & (F.col("x.n") <= F.col("y.reach")) & (F.col("y.n") <= F.col("x.reach"))
     pair = [F.least("x.d", "y.d").alias("a"), F.greatest("x.d", "y.d").alias("b")]
     need = f"{100 + percent} * {{both}} >= {percent} * (n + least)"
@@ -222,7 +222,7 @@ def links(found: DataFrame, percent: int) -> DataFrame:
     x2, y2 = spread.alias("x"), spread.alias("y")
     by_rest = x2.join(y2, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.more") == F.col("y.more")) & (F.col("x.d") < F.col("y.d")) & may).select(*pair)
     second = compared(demanded(by_hub.union(by_rest).distinct(), sets), sets, percent).filter("linked").select("a", "b")
-    return first.union(cut(second))
+    return first.union(cut(few(second)))
 
 
 def labelled(table: DataFrame, percent: int) -> DataFrame:

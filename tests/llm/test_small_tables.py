@@ -240,6 +240,26 @@ def test_demand_prunes_before_sets_are_read(spark):
     assert {tuple(r) for r in jaccard_join.demanded(pairs, sets).collect()} == {(1, 2), (3, 4)}
 
 
+def test_many_partitions_are_cut_in_few_files(spark, tmp_path):
+    """Partitions that nothing coalesces do not each become a file of every table that is cut."""
+    df = documents(spark, 7)
+    want = by_row(jaccard_join.near_duplicates(df), "doc_id", "n_shingles", "component_id")
+    sc, held = spark.sparkContext, {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, folder = {k: spark.conf.get(k) for k in held}, sc.getCheckpointDir()
+    sc.setCheckpointDir(str(tmp_path))
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = by_row(jaccard_join.near_duplicates(df), "doc_id", "n_shingles", "component_id")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        sc._jsc.sc().setCheckpointDir(folder)
+    files = [len(list(d.glob("part-*"))) for d in tmp_path.rglob("rdd-*")]
+    assert got == want
+    assert len(files) >= 8 and max(files) <= 8 * sc.defaultParallelism
+
+
 def test_one_of_each(docs):
     out = jaccard_join.one_of_each(docs)
     assert out.columns == docs.columns
