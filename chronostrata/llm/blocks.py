@@ -23,9 +23,14 @@ from chronostrata.llm.lineage import cut, ship
 BLOCK_BYTES, MOST_BLOCK, LARGE = 4 << 20, 32 << 20, 1 << 40
 
 
+def stated_size(docs: DataFrame) -> int:
+    """Bytes that the plan states for docs: 1 << 60 or more where it knows none."""
+    return int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def block_bytes_for(docs: DataFrame) -> int:
     """From the size that the plan states for docs; the least where it knows none."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = stated_size(docs)
     return BLOCK_BYTES if size >= 1 << 60 else min(MOST_BLOCK, BLOCK_BYTES * max(1, round((size / LARGE) ** 0.5)))
 
 
@@ -65,6 +70,11 @@ def packed(docs: DataFrame, block_bytes: int | None = None, count_words: bool =
     return cut(rows.select(F.monotonically_increasing_id().alias("block"), "payload", "n_words"))
 
 
+def held_in(table: DataFrame) -> tuple[int, int]:
+    """How many blocks there are, and the bytes of their payloads."""
+    return tuple(table.select(F.count("*"), F.coalesce(F.sum(F.octet_length("payload")), F.lit(0))).first())
+
+
 def opened(payload: bytes) -> pa.Table:
     return pa.ipc.open_stream(payload).read_all().combine_chunks()
 

@@ -17,30 +17,31 @@ from chronostrata.llm.lineage import cut, few, ship
 TASK_LINKS = 1_000_000
 
 
-def components(links: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
+def components(links: DataFrame, task_links: int = TASK_LINKS, size: int = 0) -> DataFrame:
     """node, label: for every node of links (a, b) the smallest node that links lead to.
 
     A round hooks every node to its smallest neighbour, follows the hooks to their ends by doubling, and
-    contracts the links; those within a component vanish. Rounds and doublings are logarithmic.
+    contracts the links; those within a component vanish. Rounds and doublings are logarithmic. ``size``:
+    see few().
     """
     ship(links.sparkSession)
-    links = cut(few(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+    links = cut(few(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), size))
     labels = None
     while links.count() > task_links:
         both = links.union(links.select("b", "a"))
-        hooks = followed(cut(few(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))))
-        labels = hooks if labels is None else relabelled(labels, hooks)
+        hooks = followed(cut(few(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), size)), size)
+        labels = hooks if labels is None else relabelled(labels, hooks, size)
         left, right = hooks.select(F.col("node").alias("a"), F.col("label").alias("la")), hooks.select(F.col("node").alias("b"), F.col("label").alias("lb"))
         moved = links.join(left, "a").join(right, "b").filter("la <> lb")
-        links = cut(few(moved.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()))
+        links = cut(few(moved.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), size))
     last = cut(links.coalesce(1).mapInArrow(united, "node long, label long"))
-    return last if labels is None else relabelled(labels, last)
+    return last if labels is None else relabelled(labels, last, size)
 
 
-def relabelled(labels: DataFrame, hooks: DataFrame) -> DataFrame:
+def relabelled(labels: DataFrame, hooks: DataFrame, size: int = 0) -> DataFrame:
     """labels whose labels follow the hooks, and the hooks of nodes that were not among them."""
     moved = labels.join(hooks.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-    return cut(few(moved.union(hooks.join(labels.select("node"), "node", "left_anti").select("node", "label"))))
+    return cut(few(moved.union(hooks.join(labels.select("node"), "node", "left_anti").select("node", "label")), size))
 
 
 def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,11 +62,11 @@ def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(n) for n in nodes], pa.int64())], ["node", "label"])
 
 
-def followed(hooks: DataFrame) -> DataFrame:
+def followed(hooks: DataFrame, size: int = 0) -> DataFrame:
     """node, label with every label followed to the end of its chain (labels only lead downwards)."""
     while True:
         further = hooks.select(F.col("node").alias("label"), F.col("label").alias("to")).filter("label <> to")
-        doubled = cut(few(hooks.join(further, "label", "left").select("node", F.coalesce("to", "label").alias("label"), F.col("to").isNotNull().alias("moved"))))
+        doubled = cut(few(hooks.join(further, "label", "left").select("node", F.coalesce("to", "label").alias("label"), F.col("to").isNotNull().alias("moved")), size))
         hooks = doubled.select("node", "label")
         if doubled.filter("moved").isEmpty():
             return hooks

@@ -44,6 +44,8 @@ SHINGLE, PERCENT = 5, 75
 #: Demands that a document may choose from, and what a comparison costs beside a look at a list entry.
 DEMANDS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
 COMPARISON = 8.0
+#: Of the bytes of the blocks' payloads, what few() expects of replies and of each table that links are found by.
+SHARE = 8
 
 
 def coded(counts: np.ndarray) -> np.ndarray:
@@ -74,13 +76,13 @@ def prefix(keys: np.ndarray, codes: np.ndarray, percent: int) -> tuple[int, np.n
     return demand, keys[first[codes[first] > 1]]
 
 
-def described(table: DataFrame, percent: int) -> DataFrame:
+def described(table: DataFrame, percent: int, n_blocks: int, size: int) -> DataFrame:
     """block, place, doc_id, n, digest, shared, demand, tokens, own for each document of the blocks: checkpointed.
 
     tokens and own (the set's shared shingles) are null where a document can have no partner, and where
-    its block has the same set under a smaller doc_id.
+    its block has the same set under a smaller doc_id. ``size``: bytes of the payloads.
     """
-    parts = B.parts_for(table.count())
+    parts = B.parts_for(n_blocks)
     low = np.uint64(64 - (parts.bit_length() - 1) - 32)
 
     def sets_of(payload: bytes) -> tuple[pa.Array, list[np.ndarray], list[bytes], list[int], np.ndarray, np.ndarray]:
@@ -146,8 +148,8 @@ def described(table: DataFrame, percent: int) -> DataFrame:
 
     ship(table.sparkSession)
     cells = table.mapInArrow(ask, "part int, block long, keys binary, counts binary")
-    replies = cut_large(few(cells.groupBy("part").applyInArrow(reply, "block long, part int, reply binary")))
-    return cut_large(few(B.answered(table, replies).select("block", "payload", "replies").mapInArrow(describe, "block long, place long, doc_id long, n long, digest binary, shared long, demand int, tokens array<long>, own binary")))
+    replies = cut_large(few(cells.groupBy("part").applyInArrow(reply, "block long, part int, reply binary"), size // SHARE))
+    return cut_large(few(B.answered(table, replies).select("block", "payload", "replies").mapInArrow(describe, "block long, place long, doc_id long, n long, digest binary, shared long, demand int, tokens array<long>, own binary"), size))
 
 
 def demanded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -184,13 +186,13 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInArrow(compare, "a long, b long, na long, nb long, both long, linked boolean, rest array<long>")
 
 
-def links(found: DataFrame, percent: int) -> DataFrame:
+def links(found: DataFrame, percent: int, size: int = 0) -> DataFrame:
     """Links (a, b) between classes of equal sets, by their smallest doc_id, that span all components.
 
     The documents of a token's list are compared with its hub, the one with the largest share of shared
     shingles. Two documents d, e of a list in different components overlap by min(|d & hub|, |e & hub|)
     shingles of the hub at most; where that is too little, they share shingles that the hub lacks, and
-    meet in the lists of these. Lists of one component are closed.
+    meet in the lists of these. Lists of one component are closed. ``size``: see few().
     """
     classes = found.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     involved = found.filter("own is not null").select(F.col("doc_id").alias("d"), "digest", "n", "shared", "demand", "tokens", "own")
@@ -199,17 +201,17 @@ def links(found: DataFrame, percent: int) -> DataFrame:
     # Two sets of sizes n and m need an overlap of p / (100 + p) * (n + m), which neither's shared
     # shingles may fall short of: partners of n have at most ``reach`` shingles.
     reach = F.expr(f"cast(floor(shared * {100 + percent} / {percent}) as bigint) - n").alias("reach")
-    entries = cut(few(named.select("d", "n", reach, (F.col("shared") / F.col("n")).alias("central"), F.explode("tokens").alias("token"))))
+    entries = cut(few(named.select("d", "n", reach, (F.col("shared") / F.col("n")).alias("central"), F.explode("tokens").alias("token")), size))
     lists = entries.groupBy("token").agg(F.count("*").alias("size"), F.min("n").alias("least"), F.max(F.struct("central", -F.col("d"), F.col("d").alias("d"))).alias("hub"))
     lists = lists.filter("size > 1").select("token", "least", F.col("hub.d").alias("hub"))
     star = entries.join(lists, "token").filter("reach >= least and d <> hub").select(F.col("d").alias("a"), F.col("hub").alias("b"), "reach").distinct()
-    seen = cut(few(compared(star.select("a", "b"), sets, percent).join(star, ["a", "b"])))
+    seen = cut(few(compared(star.select("a", "b"), sets, percent).join(star, ["a", "b"]), size))
     first = seen.filter("linked").select("a", "b")
-    labels = components(first)
+    labels = components(first, size=size)
     known = seen.join(labels.select(F.col("node").alias("a"), "label"), "a", "left").select(F.col("a").alias("d"), F.col("b").alias("hub"), F.col("na").alias("n"), "both", "reach", "rest", F.coalesce("label", "a").alias("label"))
     counts = known.groupBy("hub", "label").agg(F.count("*").alias("rows"), F.min("n").alias("n"))
     hubs = counts.groupBy("hub").agg(F.max_by("label", F.struct("rows", "label")).alias("main"), F.count("*").alias("labels"), F.min("n").alias("least")).filter("labels > 1").drop("labels")
-    known = cut(few(known.join(hubs, "hub")))
+    known = cut(few(known.join(hubs, "hub"), size))
     may = (F.col("x.label") != F.col("y.label")) & (F.col("x.n") <= F.col("y.reach")) & (F.col("y.n") <= F.col("x.reach"))
     pair = [F.least("x.d", "y.d").alias("a"), F.greatest("x.d", "y.d").alias("b")]
     need = f"{100 + percent} * {{both}} >= {percent} * (n + least)"
@@ -222,15 +224,15 @@ def links(found: DataFrame, percent: int) -> DataFrame:
     x2, y2 = spread.alias("x"), spread.alias("y")
     by_rest = x2.join(y2, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.more") == F.col("y.more")) & (F.col("x.d") < F.col("y.d")) & may).select(*pair)
     second = compared(demanded(by_hub.union(by_rest).distinct(), sets), sets, percent).filter("linked").select("a", "b")
-    return first.union(cut(few(second)))
+    return first.union(cut(few(second, size)))
 
 
-def labelled(table: DataFrame, percent: int) -> DataFrame:
+def labelled(table: DataFrame, percent: int, n_blocks: int, size: int) -> DataFrame:
     """block, place, doc_id, n, component (null: a component of its own), first (the row that stands for
     its set: smallest doc_id, then place), for each document of the blocks."""
-    found = described(table, percent)
-    linked = links(found, percent)
-    labels = components(linked)
+    found = described(table, percent, n_blocks, size)
+    linked = links(found, percent, size // SHARE)
+    labels = components(linked, size=size // SHARE)
     firsts = found.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "block", "place")).alias("first")).withColumnRenamed("digest", "of")
     named = firsts.join(labels.withColumnRenamed("node", "rep"), F.col("first.doc_id") == F.col("rep"), "left").select("of", "first", F.coalesce("label", "first.doc_id").alias("component"))
     return found.select("block", "place", "doc_id", "n", "digest").join(named, F.col("digest") == F.col("of"), "left").drop("digest", "of")
@@ -238,7 +240,10 @@ def labelled(table: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each document."""
-    found = labelled(B.packed(docs.select("doc_id", F.col("text").cast("string").alias("text"))), percent)
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    table = B.packed(few(docs, B.stated_size(docs)))
+    n_blocks, size = B.held_in(table)
+    found = labelled(table, percent, n_blocks, size)
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
@@ -247,8 +252,9 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     Rows travel inside their blocks; only the places of those that stay are joined to them.
     """
-    table, schema = B.packed(docs), docs.schema
-    found = labelled(table, percent)
+    table, schema = B.packed(few(docs, B.stated_size(docs))), docs.schema
+    n_blocks, size = B.held_in(table)
+    found = labelled(table, percent, n_blocks, size)
     alone = F.col("component").isNull() | F.col("doc_id").isNull()
     stands = (F.col("component") == F.col("doc_id")) & (F.col("first.block") == F.col("block")) & (F.col("first.place") == F.col("place"))
     staying = found.filter(alone | stands).groupBy("block").agg(F.collect_list("place").alias("places"))  # a block has a bounded number

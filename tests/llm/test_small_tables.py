@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from chronostrata.llm import byte_bpe, jaccard_join, lm_scoring, mixing, quality_classifier, quality_rules, secrets, sharding, toxicity
+from chronostrata.llm import byte_bpe, jaccard_join, lineage, lm_scoring, mixing, quality_classifier, quality_rules, secrets, sharding, toxicity
 from chronostrata.llm.registry import ORACLES, QUERIES
 from docs import clashing, documents, empty, rows
 
@@ -260,6 +260,29 @@ def test_many_partitions_are_cut_in_few_files(spark, tmp_path):
     assert len(files) >= 8 and max(files) <= 8 * sc.defaultParallelism
 
 
+def test_the_jaccard_join_writes_files_by_size(spark, tmp_path):
+    """Small tables are at most two files a core, the blocks too, however many partitions there are."""
+    documents(spark, 7).write.parquet(str(tmp_path / "in"))
+    df = spark.read.parquet(str(tmp_path / "in")).repartition(60)
+    sc, held = spark.sparkContext, {"spark.sql.shuffle.partitions": "61", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, folder = {k: spark.conf.get(k) for k in held}, sc.getCheckpointDir()
+    want = Counter(map(repr, jaccard_join.one_of_each(documents(spark, 7)).select("doc_id").collect()))
+    sc.setCheckpointDir(str(tmp_path))
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        jaccard_join.one_of_each(df).write.parquet(str(tmp_path / "out"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        sc._jsc.sc().setCheckpointDir(folder)
+    files = [len(list(d.glob("part-*"))) for d in tmp_path.rglob("rdd-*")]
+    assert len(files) >= 8 and max(files) <= 2 * sc.defaultParallelism
+    assert Counter(map(repr, spark.read.parquet(str(tmp_path / "out")).select("doc_id").collect())) == want
+    many = spark.range(0, 100, 1, 100)
+    assert [lineage.few(many, n).rdd.getNumPartitions() for n in (0, 20 * lineage.FILE_BYTES + 1, 1 << 62)] == [2 * sc.defaultParallelism, 21, 100]
+
+
 def test_one_of_each(docs):
     out = jaccard_join.one_of_each(docs)
     assert out.columns == docs.columns
