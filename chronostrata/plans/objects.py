@@ -192,9 +192,10 @@ def probes(spark, sf_dir):
     e, m = F.col("event_id"), F.col("event_id") % 7
     rate = F.when(m == 5, F.lit(22050)).otherwise(F.get(F.array(*map(F.lit, packages.RATES)), (e % 4).cast("int")))
     depth = F.when(e % 3 == 0, 24).otherwise(16)
-    high = (rate * (1 << 12) + (e % 2) * (1 << 9) + (depth - 1) * 16).cast("bigint")
+    samples = e * 1000  # 36 bits: the upper 4 end the first word
+    high = (rate * (1 << 12) + (e % 2) * (1 << 9) + (depth - 1) * 16).cast("bigint") + F.shiftright(samples, 32)
     h = lambda n, size: F.lpad(F.hex(n), 2 * size, "0")
-    hexed = F.concat(F.when(m == 6, "664C6144").otherwise("664C6143"), F.lit("80000022"), h(F.when(m == 4, 8).otherwise(4096).cast("bigint"), 2), F.lit("1000"), F.lit("000000000000"), h(high, 4), h(e * 1000, 4), F.lit("00" * 16))
+    hexed = F.concat(F.when(m == 6, "664C6144").otherwise("664C6143"), F.lit("80000022"), h(F.when(m == 4, 8).otherwise(4096).cast("bigint"), 2), F.lit("1000"), F.lit("000000000000"), h(high, 4), h(samples.bitwiseAND(F.lit((1 << 32) - 1)), 4), F.lit("00" * 16))
     return table(spark, sf_dir, "events").select("event_id", F.unhex(hexed).alias("data"))
 
 
