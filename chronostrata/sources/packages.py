@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,28 +77,46 @@ def stream_info_problem(data: Column) -> Column:
     )
 
 
+def _walker(most: int) -> Callable[[pa.Array], tuple[np.ndarray, ...]]:
+    """What finds the metadata blocks of the objects in an Arrow column: row, number, type, length, offset and
+    final of each, by row. A step reads the four bytes of one header of every object that has one more."""
+
+    def walk(cells: pa.Array) -> tuple[np.ndarray, ...]:
+        wide = cells.cast(pa.large_binary())
+        held, bounds = wide.buffers()[2], np.frombuffer(wide.buffers()[1], np.int64, len(wide) + 1, 8 * wide.offset)
+        data = np.frombuffer(held if held is not None else b"", np.uint8)
+        rows = np.flatnonzero(wide.is_valid().to_numpy(zero_copy_only=False))
+        at, steps = bounds[rows] + 4, []
+        for number in range(most):
+            there = at + 4 <= bounds[rows + 1]
+            rows, at = rows[there], at[there]
+            head = data[at[:, None] + np.arange(4)].astype(np.int64)
+            kind, size, final = head[:, 0] & 127, head[:, 1] << 16 | head[:, 2] << 8 | head[:, 3], head[:, 0] > 127
+            sound = (at + 4 + size <= bounds[rows + 1]) & (kind <= 6)
+            steps.append(tuple(x[sound] for x in (rows, np.full(len(rows), number), kind, size, at - bounds[rows], final)))
+            more = sound & ~final
+            rows, at = rows[more], (at + 4 + size)[more]
+            if not len(rows):
+                break
+        found = [np.concatenate(x) for x in zip(*steps)]
+        by_row = np.argsort(found[0], kind="stable")
+        return tuple(x[by_row] for x in found)
+
+    return walk
+
+
 def metadata_walk(objects: DataFrame, key: str, data: str, most: int = 128) -> DataFrame:
     """The metadata blocks of each object: number, type, length, offset, final. Each header tells where the
-    next one is, so objects are walked one by one, four bytes at a step."""
-
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for k, x in zip(frame[key], frame[data]):
-                at, number = 4, 0
-                while x is not None and number < most and at + 4 <= len(x):
-                    kind, size = x[at] & 127, int.from_bytes(x[at + 1 : at + 4], "big")
-                    final = bool(x[at] & 128)
-                    if at + 4 + size > len(x) or kind > 6:
-                        break
-                    out.append((k, number, kind, size, at, final))
-                    at, number = at + 4 + size, number + 1
-                    if final:
-                        break
-            yield pd.DataFrame(out, columns=[key, "number", "type", "length", "offset", "final"])
+    next one is, so objects are walked header by header, all those of an Arrow batch side by side."""
+    walk = _walker(most)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, number, kind, size, at, final = walk(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(number, pa.int32()), pa.array(kind, pa.int32()), pa.array(size), pa.array(at), pa.array(final)], [key, "number", "type", "length", "offset", "final"])
 
     kind = dict(objects.dtypes)[key]
-    return objects.select(key, data).mapInPandas(walk, f"{key} {kind}, number int, type int, length long, offset long, final boolean")
+    return objects.select(key, data).mapInArrow(run, f"{key} {kind}, number int, type int, length long, offset long, final boolean")
 
 
 def chunked(objects: DataFrame, data: str, width: int) -> DataFrame:
@@ -146,17 +165,40 @@ def sequential_reads(objects: DataFrame, size: str, slot: int = SLOT) -> DataFra
     return iv.tiled(objects, size, slot, "at", "bytes").withColumn("end", F.col("at") + F.col("bytes") == F.col(size))
 
 
-def ranged_reads(objects: DataFrame, key: str, data: str, slot: int = SLOT) -> DataFrame:
+PIECE = 1 << 16  # fixed value: the most rows in a batch that comes back from Python
+
+
+def ranged_reads(objects: DataFrame, key: str, data: str, slot: int = SLOT, most: int = 128) -> DataFrame:
     """The exact ranges that a ranged reader asks for, in order: the probe of 42 bytes, the header of each
     further metadata block (their contents are skipped), then the audio in slots. phase, first and last byte.
-    Objects whose probe is refused, or without audio, have none beyond what was asked until then."""
-    sound = objects.filter(stream_info_problem(F.substring(F.col(data), 1, 42)).isNull())
-    walked = metadata_walk(sound, key, data)
-    probe = objects.select(key, F.lit("probe").alias("phase"), F.lit(0).cast("bigint").alias("first"), F.lit(41).cast("bigint").alias("last"))
-    headers = walked.filter("number > 0").select(key, F.lit("metadata").alias("phase"), F.col("offset").alias("first"), (F.col("offset") + 3).alias("last"))
-    audio = walked.filter("final").select(key, (F.col("offset") + 4 + F.col("length")).alias("_from")).join(sound.select(key, F.octet_length(data).cast("bigint").alias("_size")), key)
-    audio = iv.tiled(audio.withColumn("_left", F.col("_size") - F.col("_from")), "_left", slot, "_at", "_bytes")
-    return probe.union(headers).union(audio.select(key, F.lit("audio").alias("phase"), (F.col("_from") + F.col("_at")).alias("first"), (F.col("_from") + F.col("_at") + F.col("_bytes") - 1).alias("last")))
+    Objects whose probe is refused, or without audio, have none beyond what was asked until then. One pass:
+    objects are neither read twice nor joined."""
+    walk, piece = _walker(most), PIECE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phases = pa.array(["probe", "metadata", "audio"])
+        for batch in batches:
+            ends = batch.column(2).to_numpy(zero_copy_only=False)
+            rows, number, _, size, at, final = walk(batch.column(1))
+            n, later = batch.num_rows, number > 0
+            begin, tail = (at + 4 + size)[final], rows[final]
+            # Spans of bytes (object, phase, first, length), each asked for in steps.
+            spans = [(np.arange(n), 0, np.zeros(n, np.int64), 42), (rows[later], 1, at[later], 4), (tail, 2, begin, ends[tail].astype(np.int64) - begin)]
+            of, first, length, phase = (np.concatenate(x) for x in zip(*((r, a, np.full(len(r), m), np.full(len(r), p)) for r, p, a, m in spans)))
+            by_row = np.argsort(of, kind="stable")
+            of, first, length, phase = of[by_row], first[by_row], length[by_row], phase[by_row]
+            step = np.where(phase == 2, slot, length)
+            upto = np.cumsum(-(-length // step))
+            for low in range(0, int(upto[-1]) if n else 0, piece):
+                read = np.arange(low, min(low + piece, upto[-1]))
+                span = np.searchsorted(upto, read, "right")
+                start = first[span] + (read - np.concatenate(([0], upto))[span]) * step[span]
+                last = np.minimum(start + step[span], first[span] + length[span]) - 1
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of[span])), phases.take(pa.array(phase[span])), pa.array(start), pa.array(last)], [key, "phase", "first", "last"])
+
+    sound = F.when(stream_info_problem(F.substring(F.col(data), 1, 42)).isNull(), F.col(data))
+    kind = dict(objects.dtypes)[key]
+    return objects.select(key, sound.alias("_sound"), F.octet_length(data).cast("bigint").alias("_size")).mapInArrow(run, f"{key} {kind}, phase string, first long, last long")
 
 
 def finite_extents(pieces: DataFrame, extents: DataFrame, key: str, order: str, data: str) -> DataFrame:
